@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import code_language, prose, provenance, repeats
+from . import code_language, garbled, prose, provenance, repeats, sentences
 
 QUERIES = {
     "p1_found": prose.p1_found,
@@ -13,5 +13,9 @@ QUERIES = {
     "p3_languages": code_language.p3_languages,
     "p4_found": provenance.p4_found,
     "p4_provenance": provenance.p4_provenance,
+    "p5_found": sentences.p5_found,
+    "p5_sentences": sentences.p5_sentences,
+    "p6_found": garbled.p6_found,
+    "p6_damage": garbled.p6_damage,
 }
 SQL: dict[str, str] = {}
