@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import code_language, garbled, prose, provenance, repeats, sentences
+from . import code_language, garbled, prose, provenance, repeats, sentences, spam
 
 QUERIES = {
     "p1_found": prose.p1_found,
@@ -17,5 +17,7 @@ QUERIES = {
     "p5_sentences": sentences.p5_sentences,
     "p6_found": garbled.p6_found,
     "p6_damage": garbled.p6_damage,
+    "p9_found": spam.p9_found,
+    "p9_pages": spam.p9_pages,
 }
 SQL: dict[str, str] = {}
