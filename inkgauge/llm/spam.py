@@ -6,7 +6,8 @@ script without spaces are cut at their function words. Trigrams of classes are c
 whose share of function words lies far under that of their language's sentences: the prose model. The pages left apart
 give the model of what isn't prose. A piece is off if its perplexity under the prose model is too high, or for its
 length and classes too low, to beat that of the other model; a page is spam if more than LEAST_SHARE of its visible
-text lies in such pieces. The pages found then train both models anew, ROUNDS times.
+text lies in such pieces, or if its function words alone already set it apart. The pages found then train both models
+anew, ROUNDS times.
 
 Defined results: null, empty and blank texts, and pages with fewer than LEAST_TOKENS tokens outside code, are no spam.
 Copies of a page are judged alike. A page's language is that of its own words and script; ``lang`` isn't used. Trigram
@@ -35,6 +36,8 @@ SEQUENCES = T.StructType([T.StructField("lang", T.StringType()), T.StructField("
 LEAST_TOKENS, LEAST_SHARE, ROUNDS = 8, 0.6, 2
 #: A page starts outside the prose model if its function words are so many standard deviations too few.
 SEED = -4.0
+#: ... and less than this part of the usual share. Both signs together need less of either.
+SEED_PART, BOTH_SHARE, BOTH_SEED = 0.5, 0.35, -3.0
 #: The share of function words that pages without any are measured by, since they show no language.
 USUAL = 0.3
 #: Interpolation of trigrams, bigrams, single classes; what is added to the counts; the least probability.
@@ -275,12 +278,14 @@ def spam_pages(df: DataFrame, words: dict[str, list[str]], key: str, text: str =
     usual = pages.where(F.col("lang") != "und").groupBy("lang").agg((F.sum("sentence_k") / F.sum("sentence_n")).alias("rate"))
     rate = F.least(F.lit(0.9), F.greatest(F.lit(0.02), F.coalesce("rate", F.lit(USUAL))))
     z = (F.col("k") - F.col("n") * rate) / F.sqrt(F.greatest(F.lit(1.0), F.col("n") * rate * (1 - rate)))
-    pages = pages.join(F.broadcast(usual), "lang", "left").withColumn("spam", F.coalesce((F.col("n") >= LEAST_TOKENS) & (z < SEED), F.lit(False)))
+    few = F.when((F.col("n") >= LEAST_TOKENS) & (F.col("k") < SEED_PART * F.col("n") * rate), z).otherwise(0.0)
+    pages = pages.join(F.broadcast(usual), "lang", "left").withColumn("few", F.coalesce(few, F.lit(0.0))).withColumn("spam", F.col("few") < SEED)
     for _ in range(ROUNDS):
         model = Contrast(count_trigrams(pages, "spam", classes.size), classes.size)
         packed = F.struct("ids", "sizes")
         pages = with_struct(pages.drop("off_share", "spam").withColumn("_p", packed), "_p", "off_share", T.DoubleType(), lambda r, m=model: m.off_share(r["ids"], r["sizes"])).drop("_p")
-        pages = pages.withColumn("spam", F.coalesce((F.col("off_share") > LEAST_SHARE) & (F.col("n") >= LEAST_TOKENS), F.lit(False)))
+        off = F.when(F.col("n") >= LEAST_TOKENS, F.col("off_share")).otherwise(0.0)
+        pages = pages.withColumn("spam", F.coalesce((F.col("few") < SEED) | (off > LEAST_SHARE) | (off > BOTH_SHARE) & (F.col("few") < BOTH_SEED), F.lit(False)))
     return pages.select(key, "off_share", "spam")
 
 
