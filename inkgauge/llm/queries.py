@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import code_language, garbled, prose, provenance, repeats, sentences, spam
+from . import code_language, garbled, mixing, packing, prose, provenance, repeats, sentences, spam
 
 QUERIES = {
     "p1_found": prose.p1_found,
@@ -17,6 +17,10 @@ QUERIES = {
     "p5_sentences": sentences.p5_sentences,
     "p6_found": garbled.p6_found,
     "p6_damage": garbled.p6_damage,
+    "p7_packed": packing.p7_packed,
+    "p7_containers": packing.p7_containers,
+    "p8_mix": mixing.p8_mix,
+    "p8_shares": mixing.p8_shares,
     "p9_found": spam.p9_found,
     "p9_pages": spam.p9_pages,
 }
