@@ -28,6 +28,8 @@ ONLY_SCRIPT = {v: k for k, v in SCRIPT_OF_LANG.items()}
 MAX_WORDS = 20_000
 
 SCRIPT_RE = re.compile("|".join(f"(?P<{k}>[{v}]+)" for k, v in SCRIPT_RANGES.items()))
+#: A letter of any writing system but Latin; most texts have none, which is quickly seen.
+NOT_LATIN = re.compile("[Ͱ-῿぀-ヿ㐀-鿿ᄀ-ᇿ㄰-㆏가-힯]")
 NOT_LETTER = re.compile(r"[\W\d_]+")
 #: A word of a spaced script: letters with their combining marks, inner apostrophes allowed.
 WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ًͯ-ٟऀ-ॣะ-๎])*(?:['’][^\W\d_]+)*")
@@ -75,7 +77,7 @@ class Voter:
                         self.by_word[part] = (*self.by_word.get(part, ()), *([] if lang in self.by_word.get(part, ()) else [lang]))
 
     def __call__(self, text: str) -> str | None:
-        found = scripts(text)
+        found = scripts(text) if NOT_LATIN.search(text) else {"latin": 1}
         if not found:
             return None
         if found.get("kana", 0) * 8 >= found.get("han", 0) + found.get("kana", 0) > 0 and found.get("kana"):

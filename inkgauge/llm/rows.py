@@ -23,3 +23,15 @@ def with_struct(df: DataFrame, column: str, into: str, schema: T.DataType, f: Ca
             yield pa.array([f(x) for x in batch.to_pylist()], type=kind)
 
     return df.withColumn(into, run.asNondeterministic()(F.col(column)))  # else filters on it would be pushed down and run it twice
+
+
+def with_batch(df: DataFrame, column: str, into: str, schema: T.DataType, f: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """As with_struct, but f gets the column's values of a whole batch as an Arrow array and returns as many."""
+    ship(df.sparkSession)
+
+    @F.arrow_udf(schema)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield f(batch)
+
+    return df.withColumn(into, run.asNondeterministic()(F.col(column)))

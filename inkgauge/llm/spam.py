@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import checkpoint_dir, ship
-from .lang import SCRIPT_OF_LANG, UNSPACED, function_words, scripts
+from .lang import NOT_LATIN, SCRIPT_OF_LANG, UNSPACED, function_words, scripts
 from .prose import END, MARKER, wrapped
-from .rows import with_struct
+from .rows import with_batch, with_struct
 
 INTS = T.ArrayType(T.IntegerType())
 SEQUENCES = T.StructType([T.StructField("lang", T.StringType()), T.StructField("n", T.LongType()), T.StructField("k", T.LongType()), T.StructField("sentence_n", T.LongType()), T.StructField("sentence_k", T.LongType()), T.StructField("ids", INTS), T.StructField("sizes", INTS)])
@@ -156,7 +156,7 @@ class Classes:
         return {"lang": self.language(text, votes), "n": n, "k": k, "sentence_n": sn, "sentence_k": sk, "ids": ids, "sizes": sizes}
 
     def language(self, text: str, votes: Counter) -> str:
-        if not text.isascii():
+        if NOT_LATIN.search(text):
             found = scripts(text)
             if found.get("kana", 0) * 8 >= found.get("han", 0) + found.get("kana", 0) > 0:
                 found["kana"] += found.pop("han", 0)
@@ -228,20 +228,24 @@ class Contrast:
                 seen += sign * np.log(WEIGHTS[0] * c3 / (c2[a * size + b] + ADDED) + low[b, c])
         self.keys, self.seen, self.unseen = keys, seen, unseen
 
-    def off_share(self, ids: list[int] | None, sizes: list[int] | None) -> float:
-        """The share of the page's visible text in pieces that are likelier under the other model."""
-        if not sizes:
-            return 0.0
-        x = np.array(ids, dtype=np.int64)
-        keys, valid = windows(x, self.size)
-        ratio = self.unseen[x[1:-1], x[2:]]
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            ratio = np.where(self.keys[at] == keys, self.seen[at], ratio)
-        starts = np.flatnonzero((x[:-1] == START) & (x[1:] == START))
-        sums = np.add.reduceat(np.where(valid, ratio, 0.0), np.minimum(starts, len(keys) - 1))
-        s = np.array(sizes, dtype=float)
-        return float(s[sums < 0].sum() / max(1.0, s.sum()))
+    def off_shares(self, pages: pa.StructArray) -> pa.Array:
+        """For each page the share of its visible text in pieces that are likelier under the other model."""
+        ids, sizes = pages.field("ids"), pages.field("sizes")
+        of = np.diff(sizes.offsets.to_numpy()) * np.asarray(sizes.is_valid())
+        size = sizes.flatten().to_numpy(zero_copy_only=False).astype(float)
+        x = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        off = np.zeros(len(of) + 1)
+        if len(size):
+            keys, valid = windows(x, self.size)
+            ratio = self.unseen[x[1:-1], x[2:]]
+            if len(self.keys):
+                at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+                ratio = np.where(self.keys[at] == keys, self.seen[at], ratio)
+            starts = np.flatnonzero((x[:-1] == START) & (x[1:] == START))
+            sums = np.add.reduceat(np.where(valid, ratio, 0.0), starts)
+            page = np.repeat(np.arange(len(of)), of)
+            off[:-1] = np.bincount(page, size * (sums < 0), len(of)) / np.maximum(1.0, np.bincount(page, size, len(of)))
+        return pa.array(off[:-1])
 
 
 def count_trigrams(pages: DataFrame, flag: str, size: int) -> dict[bool, dict[int, int]]:
@@ -283,7 +287,7 @@ def spam_pages(df: DataFrame, words: dict[str, list[str]], key: str, text: str =
     for _ in range(ROUNDS):
         model = Contrast(count_trigrams(pages, "spam", classes.size), classes.size)
         packed = F.struct("ids", "sizes")
-        pages = with_struct(pages.drop("off_share", "spam").withColumn("_p", packed), "_p", "off_share", T.DoubleType(), lambda r, m=model: m.off_share(r["ids"], r["sizes"])).drop("_p")
+        pages = with_batch(pages.drop("off_share", "spam").withColumn("_p", packed), "_p", "off_share", T.DoubleType(), model.off_shares).drop("_p")
         off = F.when(F.col("n") >= LEAST_TOKENS, F.col("off_share")).otherwise(0.0)
         pages = pages.withColumn("spam", F.coalesce((F.col("few") < SEED) | (off > LEAST_SHARE) | (off > BOTH_SHARE) & (F.col("few") < BOTH_SEED), F.lit(False)))
     return pages.select(key, "off_share", "spam")
