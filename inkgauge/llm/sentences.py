@@ -55,7 +55,7 @@ def masked(text: Column) -> Column:
         t = _replace(t, f"(?<![\\p{{L}}\\p{{M}}])({name.replace('.', STOP)})\\.(?=\\s)", f"$1{STOP}")
     t = _replace(t, f"(?<![\\p{{L}}\\p{{M}}\\p{{N}}{STOP}])({'|'.join(sorted(set(GOES_ON), key=lambda x: (-len(x), x)))})\\.(?=\\s)", f"$1{STOP}")
     t = _replace(t, f"(?<![\\p{{L}}\\p{{M}}\\p{{N}}{STOP}'’])([\\p{{Lu}}\\p{{Ll}}]|[دأبم])\\.(?=\\s+[^\\s])(?!\\s*\\n\\s*\\n)", f"$1{STOP}")
-    t = _replace(t, f"(?<![\\p{{L}}])({'|'.join(BEFORE_ORDINAL)})(\\s+\\d{{1,2}})\\.(?=\\s)", f"$1$2{STOP}")
+    t = _replace(t, f"(?<![\\p{{L}}])((?i:{'|'.join(BEFORE_ORDINAL)}))(\\s+\\d{{1,2}})\\.(?=\\s)", f"$1$2{STOP}")
     # pairs of marks, each by the same two characters
     t = _replace(t, "„([^„“”\n]*(?:\n[^„“”\n]+)*)[“”]", f"{QO}$1{QC}")
     t = _replace(t, r"(?<![^\s(（])\"(?=\S)", QO)
