@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import EXPRESSIONS
-from ..functions.text import n_words, phrase_hits, words
+from ..functions.text import folded, n_words, phrase_hits, words
 
 
 class Density(NamedTuple):
@@ -62,9 +62,10 @@ def measure(df: DataFrame, key: str, text: str, rules: list[str], lexicons: dict
         if LIMITS[rule].quoted:
             hits = F.array_compact(F.transform(words(F.col(text)), _within(list_)))
         else:
-            hits = phrase_hits(F.col(text), list_)
+            hits = phrase_hits(F.col("_folded"), list_)
         cells.append(F.struct(F.lit(rule).alias("rule_id"), hits.alias("h")))
-    each = df.select(F.col(key), n_words(F.col(text)).alias("words"), F.explode(F.array(*cells)).alias("x")).where(F.size("x.h") > 0)
+    once = df.select(F.col(key), F.col(text), folded(F.col(text)).alias("_folded"))
+    each = once.select(F.col(key), n_words(F.col(text)).alias("words"), F.explode(F.array(*cells)).alias("x")).where(F.size("x.h") > 0)
     hits, forms = F.size("x.h").cast("bigint"), F.size(F.array_distinct("x.h")).cast("bigint")
     fire = F.coalesce(*(F.when(F.col("x.rule_id") == r, fires(r, hits, forms, F.col("words"))) for r in rules))
     return each.select(key, F.col("x.rule_id").alias("rule_id"), hits.alias("hits"), forms.alias("forms"), "words", fire.alias("fires"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkgauge.functions.lexicons import EXPRESSIONS
-from inkgauge.functions.text import paragraphs, phrase_hits, sentences
+from inkgauge.functions.text import folded, paragraphs, phrase_hits, sentences
 from inkgauge.functions.views import views
 from inkgauge.operators import code_rules, commits, density, files, findings, report
 from inkgauge.plans.queries import QUERIES, SQL
@@ -62,7 +62,7 @@ def one(spark, c, text):
 def test_segments(spark):
     assert one(spark, paragraphs, "One\ntwo.\n\n---\nThree\n \nfour") == ["One\ntwo.", "Three", "four"]
     assert one(spark, sentences, "One. Two! 3.5 is it? e") == ["One.", "Two!", "3.5 is it?", "e"]
-    assert one(spark, lambda c: phrase_hits(c, ("deep dive", "dive", "don't")), "Deep dive, “dive” and DON’T dive_in") == ["deep dive", "don't"]
+    assert one(spark, lambda c: phrase_hits(folded(c), ("deep dive", "dive", "don't")), "Deep dive, “dive” and DON’T dive_in") == ["deep dive", "don't"]
 
 
 @pytest.mark.parametrize("kind, language", [("code", "python"), ("code", "rust"), ("code", "java"), ("docs", None), ("text", None), ("config", None)])
