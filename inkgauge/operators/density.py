@@ -69,3 +69,14 @@ def measure(df: DataFrame, key: str, text: str, rules: list[str], lexicons: dict
     hits, forms = F.size("x.h").cast("bigint"), F.size(F.array_distinct("x.h")).cast("bigint")
     fire = F.coalesce(*(F.when(F.col("x.rule_id") == r, fires(r, hits, forms, F.col("words"))) for r in rules))
     return each.select(key, F.col("x.rule_id").alias("rule_id"), hits.alias("hits"), forms.alias("forms"), "words", fire.alias("fires"))
+
+
+ONE_HAND, OTHER_HAND = ("on the one hand",), ("on the other hand",)
+
+
+def balance(df: DataFrame, key: str, text: str) -> DataFrame:
+    """VIBE005: key, pairs, stock of texts where complete pairs of hands and stock phrases of balance make two or more."""
+    once = df.select(F.col(key), folded(F.col(text)).alias("_folded"))
+    n = lambda phrases: F.size(phrase_hits(F.col("_folded"), phrases)).cast("bigint")
+    rows = once.select(key, F.least(n(ONE_HAND), n(OTHER_HAND)).alias("pairs"), n(EXPRESSIONS["VIBE005"]).alias("stock"))
+    return rows.where(F.col("pairs") + F.col("stock") >= 2)

@@ -41,8 +41,13 @@ def phrases_sql(rule: str) -> str:
     if density.LIMITS[rule].quoted:
         listed = ", ".join("'" + p.replace("'", "''") + "'" for p in EXPRESSIONS[rule])
         return rf"""list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}'']+'), lambda w: w IN ({listed}))"""
+    return hits_sql(EXPRESSIONS[rule])
+
+
+def hits_sql(phrases: tuple[str, ...]) -> str:
+    """The list of a text's hits of phrases, in SQL."""
     doubled = lambda p: "".join(c if c.isalnum() or c == "_" else "(?:''''|’’)" if c == "'" else 2 * re.escape(c) for c in p)
-    alternatives = "|".join(doubled(p) for p in sorted(EXPRESSIONS[rule], key=lambda p: (-len(p), p)))
+    alternatives = "|".join(doubled(p) for p in sorted(phrases, key=lambda p: (-len(p), p)))
     return rf"""regexp_extract_all(regexp_replace(lower({UNQUOTED_SQL}), '([^\p{{L}}\p{{N}}_])', '\1\1', 'g'), '(?:^|[^\p{{L}}\p{{N}}_])({alternatives})(?:[^\p{{L}}\p{{N}}_]|$)', 1)"""
 
 
@@ -68,6 +73,15 @@ def prose_density(spark: SparkSession, d: str) -> DataFrame:
     return density.measure(table(spark, d, "documents"), "doc_id", "text", list(density.LIMITS))
 
 
+@query(
+    "balance",
+    f"""WITH n AS (SELECT doc_id, least(len({hits_sql(density.ONE_HAND)}), len({hits_sql(density.OTHER_HAND)})) AS pairs, len({hits_sql(EXPRESSIONS["VIBE005"])}) AS stock FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, CAST(pairs AS BIGINT) AS pairs, CAST(stock AS BIGINT) AS stock FROM n WHERE pairs + stock >= 2""",
+)
+def balance(spark: SparkSession, d: str) -> DataFrame:
+    return density.balance(table(spark, d, "documents"), "doc_id", "text")
+
+
 # --- segmentation and order
 
 PARAGRAPHS_SQL = r"""list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '(?m)^[^\p{L}\p{N}\n]*$', chr(10), 'g'), '\n{2,}'), lambda p: regexp_replace(p, '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+\z', '', 'g')), lambda p: regexp_matches(p, '[\p{L}\p{N}]'))"""

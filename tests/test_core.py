@@ -55,6 +55,13 @@ def test_each_density_rule_fires(spark, rule):
     assert (6 in got) == x.quoted
 
 
+def test_balance(spark):
+    stock = EXPRESSIONS["VIBE005"][0]
+    rows = [(1, f"On the one hand x, on the other hand y. {stock}."), (2, "On the one hand. On the one hand."), (3, None), (4, f"{stock} and {stock}")]
+    got = {r["id"]: (r["pairs"], r["stock"]) for r in density.balance(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()}
+    assert got == {1: (1, 1), 4: (0, 2)}
+
+
 def one(spark, c, text):
     return spark.createDataFrame([(text,)], "t string").select(c(F.col("t")).alias("x")).first()["x"]
 
