@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from ..session import checkpoint_dir, ship
 from .rows import with_struct
 
-SCAN = T.StructType([T.StructField("hard", T.StringType()), T.StructField("words", T.ArrayType(T.StringType()))])
+SCAN = T.StructType([T.StructField("hard", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("undone", T.StringType())])
 
 #: Signs of typography and measure that wrong decoding commonly tears apart.
 SIGNS = "‘’‚“”„–—…•™°±µ§©®«»·×€£¥½¼¾²³¿¡ªº¬¶†‡‰‹›≤≥≠→←✓✅✨⚠❤🚀﻿\xa0"
@@ -60,8 +61,8 @@ def _table(name: str) -> dict[str, int]:
 
 
 #: Code pages in which UTF-8 gets read by mistake; those whose letters are Latin come first.
-WRONG = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1250", "iso8859-2", "cp1254", "cp1251", "koi8_r", "cp866", "cp1253", "iso8859-7", "cp1256")
-LETTERED = frozenset(("cp1251", "koi8_r", "cp866", "cp1253", "iso8859-7", "cp1256"))
+WRONG = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1250", "iso8859-2", "cp1254", "cp1251", "koi8_r", "cp866", "cp1253", "iso8859-7", "cp1256", "cp874")
+LETTERED = frozenset(("cp1251", "koi8_r", "cp866", "cp1253", "iso8859-7", "cp1256", "cp874"))
 BOXED = frozenset(("cp437", "cp850", "cp866", "koi8_r"))
 #: Closing marks and spaces, which in sound text follow capitals.
 AFTER = frozenset("»«“”’‘–—…\xa0„‚·")
@@ -82,33 +83,92 @@ def _sequences() -> list[tuple[str, dict[str, int], frozenset, frozenset, re.Pat
 SEQUENCES = _sequences()
 
 
-def misread(text: str, chars: set[str]) -> str | None:
-    """The code page in which UTF-8 was read, if the text proves one."""
-    for name, table, leads, tails, pattern in SEQUENCES:
-        if not (leads & chars and tails & chars):
+def stretches(text: str, sequence: tuple) -> Iterator[tuple[int, int, str, int]]:
+    """start, end, the character that UTF-8 makes of it, and what that proves, for one page: 2 if one such stretch is
+    proof, 1 if several are, 0 if it is damaged only where others prove the page (as in what was misread twice)."""
+    name, table, _, _, pattern = sequence
+    others = 0
+    for m in pattern.finditer(text):
+        try:
+            c = bytes(table[x] for x in m[0]).decode()
+        except (UnicodeDecodeError, KeyError):
             continue
-        others, covered = 0, 0
-        for m in pattern.finditer(text):
-            try:
-                c = bytes(table[x] for x in m[0]).decode()
-            except (UnicodeDecodeError, KeyError):
-                continue
-            if name in BOXED and (BOX.match(text[m.start() - 1 : m.start()]) or BOX.match(text[m.end() : m.end() + 1])) and not (pattern.match(text, m.end()) or others):
+        if name in BOXED and (BOX.match(text[m.start() - 1 : m.start()]) or BOX.match(text[m.end() : m.end() + 1])) and not (pattern.match(text, m.end()) or others):
+            continue
+        if USED.match(c):
+            if name in LETTERED and len(m[0]) == 2 and (m[0][1] in AFTER or m[0][1].isalpha()):
                 continue
-            if USED.match(c):
-                if name in LETTERED and len(m[0]) == 2 and (m[0][1] in AFTER or m[0][1].isalpha()):
-                    continue
-                return name
-            if OTHER.match(c):
-                others += 1
-                covered += len(m[0])
-        if others >= 3 and covered >= 0.7 * sum(len(r) for r in RUN.findall(text) if len(r) > 1 and pattern.search(r)):
-            return name
+            yield m.start(), m.end(), c, 2
+        elif OTHER.match(c):
+            others += 1
+            yield m.start(), m.end(), c, 1
+        elif name not in LETTERED and (c <= "ÿ" or unicodedata.category(c)[0] in "LMNPS"):
+            yield m.start(), m.end(), c, 0
+
+
+def proved(text: str, sequence: tuple, first: bool = False, several: int = 3) -> list[tuple[int, int, str, int]]:
+    """The stretches of a page if they prove it (the first that does is enough, if so asked), else none."""
+    table, pattern, got, others, covered = sequence[1], sequence[4], [], 0, 0
+    sure = False
+    for x in stretches(text, sequence):
+        got.append(x)
+        if x[3] == 2:
+            sure = True
+            if first:
+                return got
+        elif x[3]:
+            others += 1
+            covered += x[1] - x[0]
+    if sure or others >= several and covered >= 0.7 * sum(sum(x in table for x in r) for r in RUN.findall(text) if len(r) > 1 and pattern.search(r)):
+        return got
+    return []
+
+
+def misread(text: str, chars: set[str]) -> str | None:
+    """The code page in which UTF-8 was read, if the text proves one."""
+    for q in SEQUENCES:
+        if q[2] & chars and q[3] & chars and proved(text, q, first=True):
+            return q[0]
     return None
 
 
+def undo_misread(text: str) -> str:
+    """Every stretch of UTF-8 written back in the page that explains most of the text; again as long as the rest proves
+    a page, since texts are also misread twice or in parts. Each round makes the text shorter."""
+    while True:
+        chars = set(text)
+        several = 1 if C1.search(text) else 3  # controls are never sound
+        found = [g for q in SEQUENCES if q[2] & chars and q[3] & chars and (g := proved(text, q, several=several))]
+        if not found:
+            return text
+        best = max(found, key=lambda g: sum(e - b for b, e, _, _ in g))
+        out, at = [], 0
+        for b, e, c, _ in best:
+            out += (text[at:b], c)
+            at = e
+        text = "".join(out) + text[at:]
+
+
+HIGH = "[" + re.escape("".join(sorted(_table("cp1252")))) + "]"
+_CP1252 = _table("cp1252")
+#: Shift JIS read in cp1252; kana have the lead bytes 0x82 and 0x83.
+SJIS_RUN = re.compile(f"(?:{HIGH}(?:[@-~]|{HIGH})?)+")
+SJIS_KANA = re.compile(f"(?:[‚ƒ]{HIGH}|‚[@-~]|ƒ[@-~]){{3,}}")
+KANA = re.compile("[ぁ-ヿ]")
+
+
+def shift_jis(run: str) -> str:
+    table = _CP1252
+    try:
+        return bytes(table.get(x, ord(x)) for x in run).decode("cp932")
+    except (UnicodeDecodeError, ValueError):
+        return ""
+
+
 def east_asian(text: str) -> str | None:
     """UTF-8 read in an East Asian code page, or East Asian bytes read as Latin-1."""
+    if SJIS_KANA.search(text) and any(len(KANA.findall(s)) >= 3 for r in SJIS_RUN.findall(text) if SJIS_KANA.search(r) and (s := shift_jis(r))):
+        return "cp1252<cp932"
     for run in DENSE.findall(text):
         for name in ("gbk", "cp949", "cp932", "big5"):
             try:
@@ -120,6 +180,7 @@ def east_asian(text: str) -> str | None:
     runs = HIGH_LATIN.findall(text)
     if runs:
         good: Counter[str] = Counter()
+        hits: Counter[str] = Counter()
         for run in runs:
             raw = run.replace("\xa0", "").encode("latin-1", "ignore")
             for name in ("euc_kr", "gb2312", "euc_jp"):
@@ -129,28 +190,94 @@ def east_asian(text: str) -> str | None:
                     continue
                 if name == "euc_kr" and len(HANGUL.findall(s)) >= 0.8 * len(s) or name != "euc_kr" and all(0xA1 <= b <= 0xD7 for b in raw[::2]) and len(KANJI.findall(s)) >= 0.8 * len(s):
                     good[name] += len(s)
+                    hits[name] += len((HANGUL if name == "euc_kr" else KANJI).findall(s))
         if good and max(good.values()) >= 4:
-            return good.most_common(1)[0][0]
+            best = hits.most_common(1)[0][0]
+            # kana have the same bytes in both pages, kanji don't
+            return "euc_jp" if best == "gb2312" and good["euc_jp"] and sum(b in (0xA4, 0xA5) for run in runs for b in run.encode("latin-1")) >= 0.1 * good[best] else best
     return None
 
 
+EUC_RUN = re.compile("[¡-ÿ\xad]{2,}")
+KEPT = re.compile(f"(?:{USED.pattern}|{OTHER.pattern}|[\x00-\x7f])+")
+
+
+def undo_east_asian(text: str, name: str) -> str:
+    """Every run that gives letters in use, written back in the page that was proved."""
+
+    if name == "cp1252<cp932":
+        return SJIS_RUN.sub(lambda m: s if (s := shift_jis(m[0])) and OTHER.search(s) and KEPT.fullmatch(s) else m[0], text)
+
+    def back(m: re.Match) -> str:
+        try:
+            s = m[0].encode(name).decode() if name in ("gbk", "cp949", "cp932", "big5") else m[0].encode("latin-1").decode(name)
+        except (UnicodeEncodeError, UnicodeDecodeError):
+            return DENSE.sub(back, m[0]) if m.re is RUN else m[0]
+        return s if KEPT.fullmatch(s) else m[0]
+
+    return (RUN if name in ("gbk", "cp949", "cp932", "big5") else EUC_RUN).sub(back, text)
+
+
+#: Single-byte pages whose bytes, read as Latin-1, leave C1 controls; and signs that stand beside words.
+UNDER_C1 = ("cp1252", "mac_roman", "cp850", "cp437", "cp1250", "cp1251", "koi8_r", "cp866")
+OPENING, CLOSING, BETWEEN = frozenset("‘“„‚«‹¿¡"), frozenset("’”“»›…™‰®©°"), frozenset("–—•·†‡€£")
+
+
+def undo_c1(text: str) -> str | None:
+    """Single-byte text read as Latin-1, written back in the first page that gives every character a place where it may
+    stand; None if no page does."""
+    high = [i for i, c in enumerate(text) if c > "\x7f"]
+    for name in UNDER_C1:
+        of = {chr(b): c for c, b in _table(name).items()}
+        if name != "cp1252" and any(text[i] > "ÿ" for i in high):
+            continue  # only part of the text was read as Latin-1
+        s = "".join(of.get(c, c) if c > "\x7f" else c for c in text)
+        if C1.search(s):
+            continue
+        for i in high:
+            c, left, right = s[i], s[i - 1 : i], s[i + 1 : i + 2]
+            if c.isalpha():
+                fits = (left.isalpha() or right.isalpha()) and not (c.isupper() and left.islower()) and not (c.islower() and left.isupper() and right.isupper())
+            else:
+                fits = c in OPENING and not left.isalnum() or c in CLOSING and not right.isalnum() or c == "’" and left.isalpha() or c in BETWEEN or c in SIGNS and not (left.isalpha() and right.isalpha())
+            if not fits:
+                break
+        else:
+            return s
+    return None
+
+
+def undo(text: str) -> str | None:
+    """The whole text with every damaged stretch written back; None if characters are lost for good."""
+    text = text.replace("â€�", "”")  # of the bytes that cp1252 lacks, only this one's is a sign in use
+    name = east_asian(text)
+    if name in ("cp1252<cp932", "euc_kr", "gb2312", "euc_jp"):
+        # pairs of their bytes may look like UTF-8, but UTF-8 covers its stretches whole
+        pattern, runs = SEQUENCES[0][4], HIGH_LATIN.findall(text)
+        if name == "cp1252<cp932" or sum(len(pattern.sub("", r)) for r in runs) > 0.1 * sum(map(len, runs)):
+            text = undo_east_asian(text, name)
+    text = undo_misread(text)
+    if name := east_asian(text):
+        text = undo_east_asian(text, name)
+    if "�" in text:
+        return None
+    return undo_c1(text) if C1.search(text) else text
+
+
 TOKEN = re.compile(r"[^\s!-,./:-@\[-`{-~]+")
 UNCASED = re.compile("[ऀ-ॿก-๛ᄀ-ᇿ㄰-㆏가-힯ぁ-ヿ㐀-鿿　-〿＀-￯\U0001F000-\U0001FAFF]")
 MAX_WORD = 40
 
 
 def hard(text: str | None) -> dict:
-    """``hard``: what the record itself proves, or null. ``words``: its distinct words with a character beyond ASCII."""
+    """``hard``: what the record itself proves, or null; then ``undone`` is the original text if it can be had.
+    ``words``: its distinct words with a character beyond ASCII."""
     if not text or text.isascii():
         return {"hard": None, "words": None}
     chars = set(text)
-    if "�" in chars:
-        return {"hard": "replaced", "words": None}
-    if C1.search(text):
-        return {"hard": "c1", "words": None}
-    why = misread(text, chars) or east_asian(text)
+    why = "replaced" if "�" in chars else "c1" if C1.search(text) else misread(text, chars) or east_asian(text)
     if why:
-        return {"hard": why, "words": None}
+        return {"hard": why, "words": None, "undone": undo(text)}
     words = {w for w in TOKEN.findall(text) if not w.isascii() and not UNCASED.search(w)}
     return {"hard": None, "words": sorted(w for w in words if len(w) <= MAX_WORD)}
 
@@ -312,24 +439,52 @@ def scan(records: DataFrame) -> DataFrame:
     return with_struct(records, "text", "s", SCAN, hard).select("rec_kind", "rec_id", "source", "s.*")
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contents of files and messages of commits as text; the source is the project."""
+def records(spark: SparkSession, sf_dir: str, texts: bool = True) -> DataFrame:
+    """Contents of files and messages of commits as text; the source is the project. Undone texts come only if asked for."""
     files = spark.read.parquet(f"{sf_dir}/files.parquet").select(F.lit("file").alias("rec_kind"), F.col("file_id").alias("rec_id"), F.coalesce("project", F.lit("")).alias("source"), F.col("bytes").alias("text"))
     files = with_struct(files, "text", "s", SCAN, lambda b: hard(read_bytes(b))).select("rec_kind", "rec_id", "source", "s.*")
     commits = spark.read.parquet(f"{sf_dir}/commits.parquet").select(F.lit("commit").alias("rec_kind"), F.col("commit_id").alias("rec_id"), F.coalesce("project", F.lit("")).alias("source"), F.col("source").alias("text"))
     checkpoint_dir(spark)
-    return files.unionByName(scan(commits)).where("hard is not null or words is not null").checkpoint()
+    both = files.unionByName(scan(commits)).where("hard is not null or words is not null")
+    return (both if texts else both.drop("undone")).checkpoint()
+
+
+WORD_MAP = T.ArrayType(T.StructType([T.StructField(k, T.StringType()) for k in ("word", "restored")]))
+
+
+def rewrite(text: str | None, words: list[dict]) -> str | None:
+    """The text with each of the damaged words replaced by its restored form."""
+    if text is None:
+        return None
+    of = {w["word"]: w["restored"] for w in words}
+    return TOKEN.sub(lambda m: of.get(m[0], m[0]), text)
+
+
+def learned(scanned: DataFrame) -> DataFrame:
+    """rec_kind, rec_id, damage, words: the records with words that one code page taken for another explains, and their
+    restored forms; the damage is the pair of pages that explains most of them."""
+    uses = scanned.where("hard is null").select("rec_kind", "rec_id", "source", F.explode("words").alias("word")).distinct()
+    found = uses.join(restore(swaps(scanned)), ["source", "word"]).distinct()
+    return found.groupBy("rec_kind", "rec_id").agg(F.mode("page_pair", True).alias("damage"), F.sort_array(F.collect_set(F.struct("word", "restored"))).alias("words"))
 
 
 def p6_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rec_kind, rec_id, damage, word, restored: what was found in each record."""
+    """rec_kind, rec_id, damage, words, restored: what was found in each record, the words that were learned, and the
+    record's whole text as it was before; null where characters are lost for good."""
     scanned = records(spark, sf_dir)
-    proved = scanned.where("hard is not null").select("rec_kind", "rec_id", F.col("hard").alias("damage"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("restored"))
-    learned = restore(swaps(scanned))
-    uses = scanned.where("hard is null").select("rec_kind", "rec_id", "source", F.explode("words").alias("word"))
-    return proved.unionByName(uses.join(learned, ["source", "word"]).select("rec_kind", "rec_id", F.col("page_pair").alias("damage"), "word", "restored")).distinct()
+    hard_ones = scanned.where("hard is not null").select("rec_kind", "rec_id", F.col("hard").alias("damage"), F.lit(None).cast(WORD_MAP).alias("words"), F.col("undone").alias("restored"))
+    swapped = learned(scanned).checkpoint()
+    out = hard_ones
+    for kind, table, key, column in (("file", "files", "file_id", "bytes"), ("commit", "commits", "commit_id", "source")):
+        texts = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).alias("rec_id"), F.col(column).alias("text"))
+        both = texts.join(swapped.where(F.col("rec_kind") == kind), "rec_id").withColumn("_both", F.struct("text", "words"))
+        read = read_bytes if kind == "file" else (lambda t: t)
+        back = with_struct(both, "_both", "restored", T.StringType(), lambda r, read=read: rewrite(read(r["text"]), r["words"]))
+        out = out.unionByName(back.select("rec_kind", "rec_id", "damage", "words", "restored"))
+    return out.distinct()
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rec_kind, rec_id: records with at least one damaged stretch."""
-    return p6_damage(spark, sf_dir).select("rec_kind", "rec_id").distinct()
+    scanned = records(spark, sf_dir, texts=False)
+    return scanned.where("hard is not null").select("rec_kind", "rec_id").unionByName(learned(scanned).select("rec_kind", "rec_id")).distinct()

@@ -97,6 +97,16 @@ def test_swapped_pages_are_learned(spark):
     assert got == dict(zip(wrong[:3], words[:3]))
 
 
+def test_damaged_records_come_with_their_text(spark, tmp_path):
+    words = "проверяет каталоги сообщений прежний итоговый значения"
+    swapped, misread = "the text: " + words.encode("koi8_r").decode("cp1251"), "l’été".encode().decode("cp1252")
+    commits = [(i, "s", words) for i in range(60)] + [(98, "s", swapped), (99, "s", misread)]
+    spark.createDataFrame(commits, "commit_id long, project string, source string").write.parquet(f"{tmp_path}/commits.parquet")
+    spark.createDataFrame([(1, "s", bytearray(misread.encode()))] * 2, "file_id long, project string, bytes binary").write.parquet(f"{tmp_path}/files.parquet")
+    got = sorted((r["rec_kind"], r["rec_id"], r["restored"]) for r in garbled.p6_damage(spark, str(tmp_path)).collect())
+    assert got == [("commit", 98, "the text: " + words), ("commit", 99, "l’été"), ("file", 1, "l’été")]
+
+
 def test_packing_holds_every_token(spark):
     sizes = spark.createDataFrame([(i, n) for i, n in enumerate([0, 1, 5, 10, 11, 25, 100, 3, 3, 7])], "doc_id long, n_tokens long")
     got = packing.pack(sizes, {"ten": 10, "none": 0}).collect()

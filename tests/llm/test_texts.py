@@ -86,6 +86,16 @@ def test_utf8_in_a_wrong_page_is_found(page):
         assert garbled.hard(s)["hard"] is None
 
 
+@pytest.mark.parametrize(
+    ("text", "wrong"),
+    [(s, s.encode().decode(page)) for s in ("Der Prüfer öffnet das Fenster", "“là” – l’été, 3 °C") for page in ("latin-1", "cp437", "cp850", "mac_roman")]
+    + [("l’été", "l’été".encode().decode("cp1252").encode().decode("cp1252")), ("sound é, then it’s", "sound é, then it" + "’".encode().decode("cp1252") + "s"), ("“quoted” text", "\x93quoted\x94 text"), ("最后的报告", "最后的报告".encode("gb2312").decode("latin-1")), ("二回目の検査は空の行", "二回目の検査は空の行".encode("euc_jp").decode("latin-1")), ("lost � é", None)],
+)
+def test_whole_texts_are_restored(text, wrong):
+    got = garbled.hard(wrong or text)
+    assert got["hard"] and got["undone"] == (wrong and text)
+
+
 @pytest.mark.parametrize("text", ["NÃO ALTERAR À MÃO", "ÂGE ET ÊTRE", "╔══╗ ║ok║ ╚══╝", "½ ¼ ¾ of it", "éèêë ÀÉÈ", "Всё сердито", "«ТВ» и «МИР»", "£20 ± 5 µs", "最后的报告", "Ðelta Þorn"])
 def test_sound_texts(text):
     assert garbled.hard(text)["hard"] is None
