@@ -7,7 +7,9 @@ code page taken for another, is a substitution cipher: ``swaps`` learns it by ex
 letters are counted over the words of all records; for each source the E step weighs, for every word with a letter
 beyond ASCII that the bigrams find unlikely, the hypotheses "sound" and "read in A instead of B" by the likelihood of
 what the mapping gives; the M step re-estimates the hypotheses' weights by source and the letter that each character
-stands for. A word counts as damaged if a mapping wins and what it gives is a word that more records have than the word itself.
+stands for. A source that holds much of the corpus is judged by the bigrams of all others. How often the restored word occurs,
+against the damaged one in other sources, goes into the posterior as evidence, so neither a source that is damaged
+throughout nor a word that occurs nowhere intact is left out if the likelihoods are clear.
 ``restore`` applies the learned mapping by translate().
 
 Defined results: null and empty texts are sound. Bytes with a byte order mark are read by it; other bytes that aren't
@@ -266,7 +268,6 @@ def undo(text: str) -> str | None:
 
 TOKEN = re.compile(r"[^\s!-,./:-@\[-`{-~]+")
 UNCASED = re.compile("[ऀ-ॿก-๛ᄀ-ᇿ㄰-㆏가-힯ぁ-ヿ㐀-鿿　-〿＀-￯\U0001F000-\U0001FAFF]")
-MAX_WORD = 40
 
 
 def hard(text: str | None) -> dict:
@@ -279,7 +280,7 @@ def hard(text: str | None) -> dict:
     if why:
         return {"hard": why, "words": None, "undone": undo(text)}
     words = {w for w in TOKEN.findall(text) if not w.isascii() and not UNCASED.search(w)}
-    return {"hard": None, "words": sorted(w for w in words if len(w) <= MAX_WORD)}
+    return {"hard": None, "words": sorted(words)}
 
 
 def read_bytes(raw: bytes | None) -> str | None:
@@ -317,9 +318,13 @@ PAIRS = _pairs()
 UNSEEN, SOUND = math.log(1e-7), 0.98
 #: A word is looked at if one of its bigrams is less likely than this; it is damaged from this log ratio on.
 RARE, LEAST_RATIO = math.log(2e-4), 4.0
+#: Log odds of damage, with the words' frequencies, from which a word is claimed.
+LEAST_ODDS = 4.0
 #: Off the likelihood for each capital after a small letter.
 ODD_CASE = 2.0
 MAX_BIGRAMS = 2_000_000
+#: A source with more than the first share of all words, up to the second, is judged by the other sources' bigrams.
+LARGE, LARGEST = 0.02, 0.5
 ROUNDS = 2
 
 
@@ -368,46 +373,75 @@ def swaps(scanned: DataFrame) -> DataFrame:
     another explains. Only counts by bigram, and sums by mapping and character, leave the executors."""
     spark = scanned.sparkSession
     ship(spark)
-    vocabulary = words_of(scanned).groupBy("word").agg(F.count("*").alias("n")).checkpoint()
+    by_source = words_of(scanned).groupBy("source", "word").agg(F.count("*").alias("n")).checkpoint()
+    sums = by_source.groupBy("source").agg(F.sum("n").alias("k"))
+    every = sums.agg(F.sum("k")).first()[0] or 0
+    large = [r["source"] for r in sums.where((F.col("k") > LARGE * every) & (F.col("k") <= LARGEST * every)).collect()]
+    kept = F.when(F.col("source").isin(large), F.col("source")) if large else F.lit(None).cast("string")
+    # words of large sources, and those of all others together (part null)
+    vocabulary = by_source.groupBy(kept.alias("part"), "word").agg(F.sum("n").alias("n")).checkpoint()
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c: Counter[str] = Counter()
-            for w, n in zip(b["word"].to_pylist(), b["n"].to_pylist()):
+            c: Counter[tuple[str | None, str]] = Counter()
+            for part, w, n in zip(b["part"].to_pylist(), b["word"].to_pylist(), b["n"].to_pylist()):
                 for g in bigrams(w):
-                    c[g] += n
-            yield pa.RecordBatch.from_pydict({"g": list(c), "n": list(c.values())}, schema=pa.schema([("g", pa.string()), ("n", pa.int64())]))
+                    c[part, g] += n
+            yield pa.RecordBatch.from_pydict({"part": [k[0] for k in c], "g": [k[1] for k in c], "n": list(c.values())}, schema=pa.schema([("part", pa.string()), ("g", pa.string()), ("n", pa.int64())]))
 
-    got = vocabulary.mapInArrow(pairs, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").limit(MAX_BIGRAMS + 1).collect()
+    got = vocabulary.mapInArrow(pairs, "part string, g string, n long").groupBy("part", "g").agg(F.sum("n").alias("n")).limit(MAX_BIGRAMS + 1).collect()
     if len(got) > MAX_BIGRAMS:
         raise ValueError(f"more than {MAX_BIGRAMS} letter bigrams")
-    model = Model({r["g"]: r["n"] for r in got})
+    total: Counter[str] = Counter()
+    own: dict[str, dict[str, int]] = {}
+    for r in got:
+        total[r["g"]] += r["n"]
+        if r["part"] is not None:
+            own.setdefault(r["part"], {})[r["g"]] = r["n"]
+    counts = dict(total)
+    models: dict[str | None, Model] = {}
+
+    def model_of(part: str | None) -> Model:
+        """Of all sources, or of all but one; made where it's used, one at a time."""
+        if part not in models:
+            models.clear()
+            mine = own.get(part, {})
+            models[part] = Model({g: k for g, n in counts.items() if (k := n - mine.get(g, 0)) > 1})
+        return models[part]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("part", "word", "page_pair", "restored", "ratio")
+        schema = pa.schema([(k, pa.string()) for k in names[:4]] + [("ratio", pa.float64())])
         for b in batches:
-            rows = [(w, *h) for w in b["word"].to_pylist() if model.suspicious(w) for h in model.hypotheses(w) if h[2] > 0]
-            yield pa.RecordBatch.from_pydict(dict(zip(("word", "page_pair", "restored", "ratio"), map(list, zip(*rows)))) if rows else {k: [] for k in ("word", "page_pair", "restored", "ratio")}, schema=pa.schema([("word", pa.string()), ("page_pair", pa.string()), ("restored", pa.string()), ("ratio", pa.float64())]))
+            rows = []
+            for part, w in sorted(zip(b["part"].to_pylist(), b["word"].to_pylist()), key=lambda x: x[0] or ""):
+                model = model_of(part)
+                if model.suspicious(w):
+                    rows += [(part, w, *h) for h in model.hypotheses(w) if h[2] > 0]
+            yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)))) if rows else {k: [] for k in names}, schema=schema)
 
     # the E step's likelihoods; a word has a row for each hypothesis that beats "sound"
-    likely = vocabulary.select("word").mapInArrow(look, "word string, page_pair string, restored string, ratio double").checkpoint()
-    occurs = words_of(scanned).join(likely.select("word").distinct(), "word").groupBy("source", "word").agg(F.count("*").alias("n"))
-    rows = occurs.join(likely, "word").checkpoint()
+    likely = vocabulary.select("part", "word").mapInArrow(look, "part string, word string, page_pair string, restored string, ratio double").checkpoint()
+    occurs = by_source.withColumn("part", F.coalesce(kept, F.lit("")))
+    rows = occurs.join(likely.withColumn("part", F.coalesce("part", F.lit(""))), ["part", "word"]).drop("part").checkpoint()
     weight = rows.select("source", "page_pair").distinct().withColumn("w", F.lit((1 - SOUND) / len(PAIRS)))
     for _ in range(ROUNDS):
         post = _posterior(rows, weight)
-        by_source = post.groupBy("source", "page_pair").agg(F.sum(F.col("p") * F.col("n")).alias("k"))
-        total = by_source.groupBy("page_pair").agg(F.sum("k").alias("all"))
+        by_pair = post.groupBy("source", "page_pair").agg(F.sum(F.col("p") * F.col("n")).alias("k"))
+        total = by_pair.groupBy("page_pair").agg(F.sum("k").alias("all"))
         # a source's own weights, drawn towards those of all sources together
         sums = total.agg(F.sum("all").alias("every"))
-        weight = by_source.join(total, "page_pair").join(F.broadcast(sums), F.lit(True)).select("source", "page_pair", F.least(F.lit(0.5), (1 - SOUND) * (F.col("k") + 5 * F.col("all") / F.col("every") + 1e-3) / 5).alias("w")).checkpoint()
+        weight = by_pair.join(total, "page_pair").join(F.broadcast(sums), F.lit(True)).select("source", "page_pair", F.least(F.lit(0.5), (1 - SOUND) * (F.col("k") + 5 * F.col("all") / F.col("every") + 1e-3) / 5).alias("w")).checkpoint()
     # pages that give the same word count together
     last = _posterior(rows, weight).checkpoint()
     alike = last.groupBy("source", "word", "restored").agg(F.sum("p").alias("p"), F.max("ratio").alias("ratio"), F.max_by("page_pair", F.struct("p", "page_pair")).alias("page_pair"))
     best = alike.groupBy("source", "word").agg(F.max(F.struct("p", "ratio", "page_pair", "restored")).alias("b")).select("source", "word", "b.*")
-    known = vocabulary.groupBy(F.lower("word").alias("known")).agg(F.sum("n").alias("known_n"))
-    checked = best.join(known, F.lower("restored") == F.col("known"), "left").join(known.select(F.col("known").alias("own"), F.col("known_n").alias("own_n")), F.lower("word") == F.col("own"), "left")
-    sound = (F.col("known_n") > F.coalesce("own_n", F.lit(0))) & (F.col("known_n") >= 2) & (F.col("ratio") >= LEAST_RATIO)
-    return checked.where((F.col("p") > 0.5) & sound).select("source", "word", "page_pair", "restored", "p").checkpoint()
+    known = by_source.groupBy(F.lower("word").alias("known")).agg(F.sum("n").alias("known_n"))
+    mine = by_source.groupBy("source", F.lower("word").alias("own")).agg(F.sum("n").alias("mine_n"))
+    checked = best.withColumn("own", F.lower("word")).join(known, F.lower("restored") == F.col("known"), "left").join(known.select(F.col("known").alias("own"), F.col("known_n").alias("own_n")), "own", "left").join(mine, ["source", "own"], "left")
+    # the word's own occurrences count against it only in other sources
+    odds = F.log(F.col("p") / F.greatest(1 - F.col("p"), F.lit(1e-12))) + F.log((F.coalesce("known_n", F.lit(0)) + 0.5) / (F.coalesce("own_n", F.lit(0)) - F.coalesce("mine_n", F.lit(0)) + 0.5))
+    return checked.where((odds >= LEAST_ODDS) & (F.col("ratio") >= LEAST_RATIO)).select("source", "word", "page_pair", "restored", "p").checkpoint()
 
 
 def letter_maps(damaged: DataFrame) -> DataFrame:

@@ -97,6 +97,17 @@ def test_swapped_pages_are_learned(spark):
     assert got == dict(zip(wrong[:3], words[:3]))
 
 
+def test_a_source_damaged_throughout_is_found(spark):
+    words = ["проверяет", "каталоги", "сообщений", "прежний", "итоговый", "значения", "перезапускаетсообщенияоченьдлинныхкаталогов"]
+    wrong = [w.encode("koi8_r").decode("cp1251") for w in words]
+    others = ["короткий", "список", "отчёты", "проверки", "файлов", "каталога"]
+    rows = [("commit", i, f"s{i % 9}", None, words[:6] if i < 20 else others) for i in range(60)] + [("commit", 100 + i, "bad", None, wrong) for i in range(30)]
+    df = spark.createDataFrame(rows, "rec_kind string, rec_id long, source string, hard string, words array<string>")
+    got = garbled.restore(garbled.swaps(df)).collect()
+    assert {(r["source"], r["word"], r["restored"]) for r in got} == {("bad", a, b) for a, b in zip(wrong, words)}
+    assert garbled.hard("é" * 50)["words"] == ["é" * 50]
+
+
 def test_damaged_records_come_with_their_text(spark, tmp_path):
     words = "проверяет каталоги сообщений прежний итоговый значения"
     swapped, misread = "the text: " + words.encode("koi8_r").decode("cp1251"), "l’été".encode().decode("cp1252")
