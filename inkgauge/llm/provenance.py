@@ -64,6 +64,7 @@ BANNERS = (
     re.compile(r"^\W*(?P<lib>[A-Za-z][\w.@/-]*) v\d+\.\d+(?:\.\d+)?\S*\s*\n\W*(?:https?://|\(c\)|copyright)", re.I | re.M),
     re.compile(r"^\W*(?P<lib>[A-Za-z][\w.@/-]*) v?\d+\.\d+\.\d+\S* \| .{8,160}(?:\| \S+|licen[cs]e|terms)", re.I | re.M),
 )
+#: Marks and banners are read in all comments; in so many first lines also outside of comments.
 HEAD_LINES = 14
 TOKEN = re.compile(r"[^\W\d]\w*|\d[\w.]*|[^\w\s]")
 PIECE = re.compile(r"(?P<comment>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|(?<![\w&$])#(?![0-9a-fA-F]{3,8}[;\s}])[^\n]*)|(?P<text>\"\"\"[\s\S]*?(?:\"\"\"|\Z)|b?\"(?:\\.|[^\"\\\n])*\"|b?'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)")
@@ -168,10 +169,10 @@ def sketch(path: str | None, raw: bytes | None) -> dict | None:
     if len(tokens) < LEAST_TOKENS:
         return None
     lines = text.split("\n")
-    head = "\n".join(lines[:HEAD_LINES])
     # what of the file is identifiers, literals and natural language
     literal = written = at = 0
     bare: list[str] = []
+    notes: list[str] = []
     for m in PIECE.finditer(text):
         bare.append(text[at : m.start()])
         at = m.end()
@@ -183,6 +184,7 @@ def sketch(path: str | None, raw: bytes | None) -> dict | None:
                 bare.append(" S ")
         else:
             bare.append("\n" * m[0].count("\n") or " ")
+            notes.append(m[0])
     bare.append(text[at:])
     code = "".join(bare)
     shown = TOKEN.findall(code)
@@ -193,14 +195,17 @@ def sketch(path: str | None, raw: bytes | None) -> dict | None:
         elif len(t) > 1 or t.isalpha() and t != "S":
             words += len(t) * k
     code_lines = [x for x in code.split("\n") if x.strip()]
-    low = head.lower()
-    marked = any(x in low for x in MARK_HINTS) and any(MARK.search(x) and not NOT_MARK.search(x) for x in [*lines[:HEAD_LINES], " ".join(x.strip(" /*#") for x in lines[:6])])
+    # the file's first lines, whatever they are in, and all of its comments
+    head = "\n".join(lines[:HEAD_LINES])
+    comments = "\n".join(notes)
+    low = f"{head}\n{comments}".lower()
+    marked = any(x in low for x in MARK_HINTS) and any(MARK.search(x) and not NOT_MARK.search(x) for x in [*lines[:HEAD_LINES], *comments.split("\n"), " ".join(x.strip(" /*#") for x in lines[:6])])
     blob = len(text) >= BLOB_BYTES and literal + numbers >= BLOB_SHARE * max(1, literal + numbers + words + written)
     spaces = len(code) - len("".join(code.split()))
     squeezed = extension in SQUEEZED and len(text) >= MIN_BYTES and not blob and spaces <= MIN_SPACE * len(code) and len(code) >= MIN_LINE * max(1, len(code_lines)) / (3 if ".min." in name else 1)
     if extension == "css" and not squeezed and not blob:
         squeezed = len(text) >= MIN_BYTES and spaces <= MIN_SPACE * len(code) and not any(x.rstrip().endswith("{") for x in code_lines) and len(code_lines) < code.count("}")
-    banner = next((m["lib"] for p in BANNERS if (m := p.search(head))), None)
+    banner = next((m["lib"] for p in BANNERS if (m := p.search(head) or p.search(comments))), None)
     folder = LIBRARY_FOLDER.search(path or "")
     own = np.fromiter(map(CODES.__getitem__, tokens), np.uint64, len(tokens))
     masked = np.fromiter(map(MASKED.__getitem__, shown), np.uint64, len(shown))

@@ -75,6 +75,11 @@ def test_provenance_marks():
     assert provenance.sketch("src/vendors/x.py", body.encode())["folder"] is None
     assert provenance.sketch("w/a.js", "".join(f"function a{i}(b){{return b.c?{i}:void 0}}" for i in range(40)).encode())["minified"]
     assert provenance.sketch("w/a.c", ("const int t[] = {" + ",".join(str(i * 37 % 256) for i in range(400)) + "};").encode())["blob"]
+    licence = "".join(f"# Terms of use, clause {w}.\n" for w in "abcdefghijklmnopqrst")
+    assert provenance.sketch("src/a.py", (licence + "# Code generated by tool. DO NOT EDIT.\n" + body).encode())["marked"]
+    assert provenance.sketch("src/a.py", (body + "\n# Code generated by tool. DO NOT EDIT.\n").encode())["marked"]
+    assert provenance.sketch("src/a.py", (licence + "# upstream: leftpad, release 2\n" + body).encode())["banner"] == "leftpad"
+    assert not provenance.sketch("src/a.py", (licence + body).encode())["marked"]
     assert provenance.sketch("README.md", body.encode()) is None
 
 
