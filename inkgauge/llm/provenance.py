@@ -3,8 +3,8 @@
 
 ``sketch`` reads each file once into tokens. Two MinHash signatures come out: of five-token shingles as written, and of
 the same shingles with identifiers and literals masked. ``classes`` bands the first, links every file of a bucket to
-the bucket's smallest file, verifies each link by the Jaccard similarity of the shingle sets (bottom-k sketches; exact
-up to SKETCH shingles) and joins the links to classes; a class that spans repositories is a vendored library, as is one
+the bucket's smallest file or, if it is no copy of that, to a later head, verifies each link by the Jaccard similarity of
+the shingle sets (bottom-k sketches; all shingles near the limit) and joins the links to classes; a class that spans repositories is a vendored library, as is one
 with a file that carries another's banner or lies in a library's folder. Masked buckets within one repository are
 families: a file whose family mostly bears a generator's mark or counts through its own lines is generated, as is one
 that does so itself. Files of nothing but literals are blobs, scripts and style sheets without layout are minified.
@@ -24,7 +24,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +42,8 @@ SKETCH_TYPE = T.StructType(
 WIDTH, BANDS, ROWS, FAMILIES, SKETCH = 5, 12, 4, 4, 256
 #: Two files are copies from this similarity on.
 LEAST_SIMILARITY = 0.8
+#: An estimate from SKETCH minima that lies nearer to that is verified by all shingles; four standard deviations.
+NEAR = 0.1
 LEAST_TOKENS = 30
 
 #: Extensions of source files, and of those the scripts and style sheets that get minified.
@@ -140,6 +142,12 @@ def banded(h: np.ndarray, bands: int) -> list[int]:
     return (out >> np.uint64(1)).astype(np.int64).tolist()
 
 
+def all_shingles(raw: bytes | None) -> list[int]:
+    """The shingles of a file's words as written, all of them."""
+    tokens = TOKEN.findall(decode(raw).replace("\r\n", "\n"))
+    return shingles(np.fromiter(map(CODES.__getitem__, tokens), np.uint64, len(tokens))).view(np.int64).tolist()
+
+
 def counting(lines: list[str]) -> bool:
     """Whether lines of one shape count upwards by one, through most of the file."""
     by: dict[str, list[list[str]]] = {}
@@ -234,19 +242,47 @@ def sketches(files: DataFrame) -> DataFrame:
     return out.select("file_id", F.coalesce("project", F.lit("")).alias("project"), "s").where("s is not null").select("file_id", "project", "s.*").checkpoint()
 
 
-def links(files: DataFrame, bottoms: DataFrame) -> DataFrame:
-    """a, b: verified links of each file (file_id, bands) to the smallest file of one of its buckets. A bucket's files
-    are compared with that file only, so a bucket of n files gives n links; buckets are combined before the shuffle.
-    The sketches (file_id, bottom) are moved for the linked files only."""
-    banded = files.select("file_id", F.explode("bands").alias("band"))
-    heads = banded.groupBy("band").agg(F.min("file_id").alias("b"), F.count("*").alias("n")).where("n > 1").select("band", "b")
-    pairs = banded.join(heads, "band").where("file_id <> b").select(F.col("file_id").alias("a"), "b").distinct().checkpoint()
+def links(files: DataFrame, bottoms: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+    """a, b: verified links of the files of a bucket (file_id, bands) to heads, its smallest files. Files that no head is
+    a copy of stay for the next round, which elects twice as many heads among them, until each is linked or has been a
+    head itself. The sketches (file_id, bottom) are moved for compared files only; links near the limit are verified by
+    all shingles of ``whole`` (file_id, path, bytes)."""
+    left = files.select("file_id", F.explode("bands").alias("band"))
+    left = left.join(left.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "band").select("band", "file_id").checkpoint()
+    found, heads_each = None, 1
+    while not left.isEmpty():
+        ranked = left.withColumn("r", F.row_number().over(Window.partitionBy("band").orderBy("file_id")))
+        heads = ranked.where(F.col("r") <= heads_each).select("band", F.col("file_id").alias("b"))
+        pairs = left.join(heads, "band").where("file_id > b").select(F.col("file_id").alias("a"), "b", "band").checkpoint()
+        good = verified(pairs.select("a", "b").distinct(), bottoms, whole).checkpoint()
+        found = good if found is None else found.unionByName(good).distinct().checkpoint()
+        done = pairs.join(good, ["a", "b"]).select("band", F.col("a").alias("file_id"))
+        rest = ranked.where(F.col("r") > heads_each).select("band", "file_id").join(done, ["band", "file_id"], "left_anti")
+        left = rest.join(rest.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "band").checkpoint()
+        heads_each *= 2
+    return found if found is not None else files.select(F.col("file_id").alias("a"), F.col("file_id").alias("b")).limit(0)
+
+
+def verified(pairs: DataFrame, bottoms: DataFrame, whole: DataFrame | None) -> DataFrame:
+    """The pairs (a, b) that are copies of each other."""
     ends = pairs.select(F.col("a").alias("file_id")).union(pairs.select("b")).distinct()
     side = bottoms.join(ends, "file_id", "left_semi").dropDuplicates(["file_id"])
     both = pairs.join(side.select(F.col("file_id").alias("a"), F.col("bottom").alias("x")), "a").join(side.select(F.col("file_id").alias("b"), F.col("bottom").alias("y")), "b")
     union = F.slice(F.array_sort(F.array_union("x", "y")), 1, SKETCH)
     like = F.size(F.array_intersect(F.array_intersect("x", "y"), "_u")) / F.greatest(F.size("_u"), F.lit(1))
-    return both.withColumn("_u", union).where(like >= LEAST_SIMILARITY).select("a", "b")
+    full = (F.size("x") < SKETCH) & (F.size("y") < SKETCH)
+    if whole is None:
+        return both.withColumn("_u", union).where(like >= LEAST_SIMILARITY).select("a", "b")
+    measured = both.withColumn("_u", union).select("a", "b", like.alias("like"), full.alias("full")).where(F.col("like") >= LEAST_SIMILARITY - NEAR).checkpoint()
+    sure = measured.where((F.col("like") >= LEAST_SIMILARITY) & (F.col("full") | (F.col("like") > LEAST_SIMILARITY + NEAR))).select("a", "b")
+    near = measured.where(~F.col("full") & (F.col("like") <= LEAST_SIMILARITY + NEAR)).select("a", "b")
+    if near.isEmpty():
+        return sure
+    ids = near.select(F.col("a").alias("file_id")).union(near.select("b")).distinct()
+    sets = with_struct(whole.join(ids, "file_id", "left_semi").select("file_id", "bytes"), "bytes", "h", LONGS, all_shingles).dropDuplicates(["file_id"]).select("file_id", "h").checkpoint()
+    exact = near.join(sets.select(F.col("file_id").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("file_id").alias("b"), F.col("h").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return sure.unionByName(exact.where(common >= LEAST_SIMILARITY * (F.size("x") + F.size("y") - common)).select("a", "b"))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -271,7 +307,7 @@ def provenance(files: DataFrame) -> DataFrame:
     every source file (file_id, project, path, bytes)."""
     every = sketches(files)
     s = every.drop("bottom").dropDuplicates(["file_id"]).checkpoint()
-    label = components(links(s, every.select("file_id", "bottom")))
+    label = components(links(s, every.select("file_id", "bottom"), files))
     labelled = s.join(label, s["file_id"] == label["id"], "left").drop("id").withColumn("class", F.coalesce("class", "file_id"))
     by_class = labelled.groupBy("class").agg(
         F.count("*").alias("class_files"),

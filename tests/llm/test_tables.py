@@ -72,6 +72,13 @@ def test_copies_across_projects_are_vendored(spark):
     assert got[2]["class"] == 1 and got[1]["class_files"] == 2 and got[3]["class_files"] == 1
 
 
+def test_copies_are_linked_beside_an_unrelated_head(spark):
+    sets = {1: range(100), 2: range(1000, 1100), 3: range(1000, 1100), 4: range(2000, 2100), 5: range(2000, 2100), 6: range(3000, 3100), 7: range(3000, 3100)}
+    df = spark.createDataFrame([(i, [7], list(v)) for i, v in sets.items()], "file_id long, bands array<long>, bottom array<int>")
+    got = {tuple(r) for r in provenance.links(df.select("file_id", "bands"), df.select("file_id", "bottom")).collect()}
+    assert got == {(3, 2), (5, 4), (7, 6)}
+
+
 def test_components_follow_chains(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(20)] + [(101, 100)], "a long, b long")
     got = {r["id"]: r["class"] for r in provenance.components(edges).collect()}
