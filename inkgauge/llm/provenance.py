@@ -210,8 +210,8 @@ def sketch(path: str | None, raw: bytes | None) -> dict | None:
     marked = any(x in low for x in MARK_HINTS) and any(MARK.search(x) and not NOT_MARK.search(x) for x in [*lines[:HEAD_LINES], *comments.split("\n"), " ".join(x.strip(" /*#") for x in lines[:6])])
     blob = len(text) >= BLOB_BYTES and literal + numbers >= BLOB_SHARE * max(1, literal + numbers + words + written)
     spaces = len(code) - len("".join(code.split()))
-    squeezed = extension in SQUEEZED and len(text) >= MIN_BYTES and not blob and spaces <= MIN_SPACE * len(code) and len(code) >= MIN_LINE * max(1, len(code_lines)) / (3 if ".min." in name else 1)
-    if extension == "css" and not squeezed and not blob:
+    squeezed = extension in SQUEEZED and len(text) >= MIN_BYTES and spaces <= MIN_SPACE * len(code) and len(code) >= MIN_LINE * max(1, len(code_lines)) / (3 if ".min." in name else 1)
+    if extension == "css" and not squeezed:
         squeezed = len(text) >= MIN_BYTES and spaces <= MIN_SPACE * len(code) and not any(x.rstrip().endswith("{") for x in code_lines) and len(code_lines) < code.count("}")
     banner = next((m["lib"] for p in BANNERS if (m := p.search(head) or p.search(comments))), None)
     folder = LIBRARY_FOLDER.search(path or "")
@@ -327,7 +327,7 @@ def provenance(files: DataFrame) -> DataFrame:
         "class_projects",
         F.coalesce("f.n", F.lit(1)).alias("family_files"),
         F.coalesce("f.share", F.lit(0.0)).alias("family_marked"),
-        (~F.col("blob") & (made | ((F.coalesce("f.share", F.lit(0.0)) > FAMILY_SHARE) & (F.coalesce("f.n", F.lit(1)) >= FAMILY_FILES)))).alias("generated"),
+        (made | ((F.coalesce("f.share", F.lit(0.0)) > FAMILY_SHARE) & (F.coalesce("f.n", F.lit(1)) >= FAMILY_FILES))).alias("generated"),
         "minified",
         (F.col("_spans") | F.col("_library")).alias("vendored"),
         "blob",

@@ -79,6 +79,13 @@ def test_copies_are_linked_beside_an_unrelated_head(spark):
     assert got == {(3, 2), (5, 4), (7, 6)}
 
 
+def test_two_causes_of_one_file(spark):
+    text = "// Code generated by tool. DO NOT EDIT.\nconst int t[] = {" + ",".join(str(i * 37 % 256) for i in range(400)) + "};"
+    df = spark.createDataFrame([(1, "a", "src/a.c", bytearray(text.encode()))], "file_id long, project string, path string, bytes binary")
+    (got,) = provenance.provenance(df).collect()
+    assert got["generated"] and got["blob"]
+
+
 def test_components_follow_chains(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(20)] + [(101, 100)], "a long, b long")
     got = {r["id"]: r["class"] for r in provenance.components(edges).collect()}
