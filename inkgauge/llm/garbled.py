@@ -6,8 +6,8 @@ gives letters that are in use), UTF-8 read in an East Asian code page, East Asia
 code page taken for another, is a substitution cipher: ``swaps`` learns it by expectation-maximization. Bigrams of
 letters are counted over the words of all records; for each source the E step weighs, for every word with a letter
 beyond ASCII that the bigrams find unlikely, the hypotheses "sound" and "read in A instead of B" by the likelihood of
-what the mapping gives; the M step re-estimates the hypotheses' weights by source and the letter that each character
-stands for. A source that holds much of the corpus is judged by the bigrams of all others. How often the restored word occurs,
+what the mapping gives; the M step re-estimates the hypotheses' weights by source. The mappings themselves are the published ones and
+stay as they are. A source that holds much of the corpus is judged by the bigrams of all others. How often the restored word occurs,
 against the damaged one in other sources, goes into the posterior as evidence, so neither a source that is damaged
 throughout nor a word that occurs nowhere intact is left out if the likelihoods are clear.
 ``restore`` applies the learned mapping by translate().
@@ -334,7 +334,7 @@ def bigrams(word: str) -> list[str]:
 
 
 class Model:
-    """Bigram likelihoods, and the learned mappings."""
+    """Bigram likelihoods, and the published mappings."""
 
     def __init__(self, counts: dict[str, int]):
         first: Counter[str] = Counter()
