@@ -2,7 +2,8 @@
 
 Entropy balancing: among all document weights that give each source its share of the tokens and keep its mean length,
 those nearest to one copy each, in relative entropy, are exponentially tilted: exp(a + b * length) with a and b by
-source. Newton iterations solve the convex dual; each takes three sums by source over all documents and a step in the
+source. With both constraints the solution is
+b = 0, a = log(share's tokens / available tokens): every document of a source has the same rate. Newton iterations solve the convex dual; each takes three sums by source over all documents and a step in the
 two unknowns of each source. The total is the largest that no source's cap forbids, unless a smaller one is given.
 Weights become copies by rounding that carries the tokens still due from document to document, in buckets of bounded
 size.
