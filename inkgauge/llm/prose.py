@@ -1,8 +1,9 @@
 """Per-document text statistics, and the texts that are lists, tables or junk instead of prose (problem 1).
 
 ``text_stats`` adds a struct of statistics to every row. Tables are found by the vertical alignment of delimiters
-(the same delimiters, as often, in line after line), lists by short lines, by the period of their indentation and by
-line lengths that no wrapping explains, junk by word, symbol and punctuation ratios. Lines belong to one wrapped text
+(the same delimiters, as often, in line after line), lists by short lines that no wrapping explains and
+by separators, junk by the shape of words and the share of signs. The period of indentation, the autocorrelation of line
+lengths and the ratios of the whole text are reported only. Lines belong to one wrapped text
 if the next line's first word wouldn't have fitted on them; only then may a sentence run over a line's end.
 
 Defined results: null, empty or blank text has ``n_visible`` 0, all ratios 0 and form ``empty``. Every row is measured
@@ -104,7 +105,7 @@ def alignment(lines: list[str]) -> tuple[float, str]:
         if n < least:
             continue
         share = k / len(rows)
-        if d in ",;" and any(units(c) > CSV_CELL_WORDS for x in rows[:50] for c in x.split(d)):
+        if d in ",;" and any(units(c) > CSV_CELL_WORDS for x in rows for c in x.split(d)):
             continue
         if share > best:
             best, which = share, d

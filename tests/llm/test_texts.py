@@ -40,6 +40,12 @@ def test_forms(form, text):
     assert prose.describe(text.replace("\n", "\r\n"), frozenset(WORDS["en"]))["form"] == form
 
 
+def test_alignment_tests_all_rows():
+    rows = [f"a{i},b,c" for i in range(60)]
+    assert prose.alignment(rows) == (1.0, ",")
+    assert prose.alignment([*rows, "one two three four five six seven,b,c"]) == (0.0, "")
+
+
 def brute_copies(s: str, n: int) -> float:
     covered = set()
     for i in range(len(s) - n + 1):
