@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -39,11 +40,21 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; where none is set, as in tests, one in the warehouse."""
+    """The shared folder that the cluster names. Where none is set, a local master gets a temporary folder, and any other
+    is refused: its executors could not read what another machine wrote."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="inkgauge-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df, written as a table in the shared folder: cut off from its lineage, and read by column."""
+    path = f"{checkpoint_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
