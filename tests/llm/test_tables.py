@@ -73,10 +73,24 @@ def test_copies_across_projects_are_vendored(spark):
 
 
 def test_copies_are_linked_beside_an_unrelated_head(spark):
-    sets = {1: range(100), 2: range(1000, 1100), 3: range(1000, 1100), 4: range(2000, 2100), 5: range(2000, 2100), 6: range(3000, 3100), 7: range(3000, 3100)}
-    df = spark.createDataFrame([(i, [7], list(v)) for i, v in sets.items()], "file_id long, bands array<long>, bottom array<int>")
-    got = {tuple(r) for r in provenance.links(df.select("file_id", "bands"), df.select("file_id", "bottom")).collect()}
-    assert got == {(3, 2), (5, 4), (7, 6)}
+    sets = {1: range(100), 2: range(1000, 1100), 3: range(1000, 1100), 4: range(2000, 2100), 5: range(2000, 2100), 6: range(3000, 3100), 7: range(3000, 3100), 8: range(3010, 3110)}
+    df = spark.createDataFrame([(i, [7], list(v)) for i, v in sets.items()], "id long, bands array<long>, x array<int>")
+    label = {r["id"]: r["class"] for r in provenance.components(provenance.links(df, ["x"])).collect()}
+    assert label == {2: 2, 3: 2, 4: 4, 5: 4, 6: 6, 7: 6, 8: 6}
+
+
+def template(names, values):
+    return "\n".join(f"  register_field({n!r}, kind={v}, width={v * 3}) << chain[{v}].{n};" for n, v in zip(names, values))
+
+
+def test_templates_within_a_repository_are_generated(spark):
+    hand = ["\n".join(f"def f{seed}_{i}(a{i}, b):\n    if a{i}.k{seed + i * 7}:\n        return b.z{i * seed}" for i in (3, 1, 8, 5, 9, 2)) for seed in range(2, 9)]
+    made = [template([f"{w}{i}" for i in "abcdefghij"], [v * v % 13 + k for v in range(10)]) for k, w in enumerate(("red", "sea"))]
+    rows = [(i, f"p{i % 3}", f"src/h{i}.py", b) for i, b in enumerate(hand)] + [(100 + i, "p0", f"src/m{i}.py", b) for i, b in enumerate(made)] + [(200 + i, f"p{i}", f"x{i}/__init__.py", "from .core import *\n") for i in range(3)]
+    df = spark.createDataFrame([(i, p, path, bytearray(b.encode())) for i, p, path, b in rows], "file_id long, project string, path string, bytes binary")
+    got = {r["file_id"]: r for r in provenance.provenance(df).collect()}
+    assert {i for i, r in got.items() if r["generated"]} == {100, 101} == {i for i, r in got.items() if r["clustered_generated"]}
+    assert not any(r["vendored"] or r["blob"] for r in got.values())
 
 
 def test_two_causes_of_one_file(spark):
