@@ -59,10 +59,25 @@ def test_copies_against_brute_force(seed):
     r = random.Random(seed)
     parts = ["".join(r.choices("abcdefgh", k=r.randrange(3, 20))) for _ in range(4)]
     s = "".join(r.choices(parts, k=r.randrange(1, 12)))
-    n = max(repeats.LEAST_RUN, min(repeats.RUN, len(s) // 6))
+    n = repeats.run_length(len(s))
     assert repeats.copy_share(s) == pytest.approx(brute_copies(s, n) if len(s) - n + 1 >= 2 else 0.0)
 
 
+@pytest.mark.parametrize(("text", "least", "most"), [("fix bug fix bug", 0.5, 0.5), ("no row, no row, no row", 0.6, 0.7), ("the reader keeps the old value when the list is empty", 0, 0.2), ("検査は空の行です。検査は空の行です。", 0.5, 0.5), ("12 12 12 12 == == ==", 0, 0)])
+def test_copies_of_short_texts(text, least, most):
+    assert least <= repeats.measure(text, Voter(WORDS))["copy_share"] <= most
+
+
+def test_consistency_of_the_scatter():
+    import numpy as np
+
+    x = np.random.default_rng(3).normal(size=(200_000, 4))
+    d = (x**2).sum(1)
+    near = x[d <= np.quantile(d, 0.75)]
+    assert np.cov(near.T).trace() / 4 * repeats.consistency(0.75, 4) == pytest.approx(1, abs=0.01)
+    assert repeats.chi_square(repeats.LIMIT, 2) == pytest.approx(0.975, abs=1e-4)
+
+
 def test_languages_of_code():
     find = code_language.Finder(WORDS)
     code = "# The value is kept in the list for later.\nx = 'SELECT a FROM the WHERE of = ?'\n# We go to the end of the file with it.\n\ny = '\\u0438 \\u043d\\u0435 \\u0432 \\u0434\\u043e\\u043c\\u0435'\n# и не в доме на горе\n# /usr/the/of/and\n"
