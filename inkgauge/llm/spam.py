@@ -2,16 +2,18 @@
 
 A page is a sequence of pieces (sentences, list items; fenced code is left out). Each piece becomes a sequence of word
 classes: function words as themselves, other words by their shape, numbers, prices, links, tags and marks; runs of a
-script without spaces are cut at their function words. Trigrams of classes are counted over all pages, apart from those
-whose share of function words lies far under that of their language's sentences: the prose model. The pages left apart
-give the model of what isn't prose. A piece is off if its perplexity under the prose model is too high, or for its
-length and classes too low, to beat that of the other model; a page is spam if more than LEAST_SHARE of its visible
-text lies in such pieces, or if its function words alone already set it apart. The pages found then train both models
-anew, ROUNDS times.
-
-Defined results: null, empty and blank texts, and pages with fewer than LEAST_TOKENS tokens outside code, are no spam.
-Copies of a page are judged alike. A page's language is that of its own words and script; ``lang`` isn't used. Trigram
-counts are bounded by the classes, of which there are as many as function words and some thirty more.
+script without spaces are cut at their function words. Trigrams of classes are counted over all pages. Pages whose
+share of function words lies far under that of their language's sentences begin as the training text of the model of
+what isn't prose, all others as that of the prose model. A piece is off if its perplexity under the prose model is
+higher, or for its length and classes lower, than the other model lets expect; a page is spam if more than LEAST_SHARE of its visible
+text lies in such pieces. The pages found, and only these, then are the other model's training text, ROUNDS times. The
+models alone decide: a page that was set apart at first is honest if its pieces are.
+
+Trigrams are counted in BUCKETS places by a hash of their classes, so the models have the same size for any input.
+
+Defined results: null, empty and blank texts, and stubs of fewer than LEAST_TOKENS words and
+tokens outside code, are no spam. Copies of a page are
+judged alike. A page's language is that of its own words and script; ``lang`` isn't used.
 """
 
 from __future__ import annotations
@@ -26,23 +28,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir, ship
+from ..session import ship, staged
 from .lang import NOT_LATIN, SCRIPT_OF_LANG, UNSPACED, function_words, scripts
 from .prose import END, MARKER, wrapped
 from .rows import with_batch, with_struct
 
 INTS = T.ArrayType(T.IntegerType())
 SEQUENCES = T.StructType([T.StructField("lang", T.StringType()), T.StructField("n", T.LongType()), T.StructField("k", T.LongType()), T.StructField("sentence_n", T.LongType()), T.StructField("sentence_k", T.LongType()), T.StructField("ids", INTS), T.StructField("sizes", INTS)])
-LEAST_TOKENS, LEAST_SHARE, ROUNDS = 8, 0.6, 2
-#: A page starts outside the prose model if its function words are so many standard deviations too few.
+LEAST_TOKENS, LEAST_SHARE, ROUNDS = 8, 0.6, 3
+#: A page's text starts outside the prose model if its function words are so many standard deviations too few.
 SEED = -4.0
-#: ... and less than this part of the usual share. Both signs together need less of either.
-SEED_PART, BOTH_SHARE, BOTH_SEED = 0.5, 0.35, -3.0
+#: ... and less than this part of the usual share.
+SEED_PART = 0.5
 #: The share of function words that pages without any are measured by, since they show no language.
 USUAL = 0.3
 #: Interpolation of trigrams, bigrams, single classes; what is added to the counts; the least probability.
 WEIGHTS, ADDED, FLOOR = (0.6, 0.3, 0.099), 3.0, 1e-5
-MAX_TRIGRAMS = 10_000_000
+#: Places in which trigrams are counted.
+BUCKETS = 1 << 21
 
 FENCE = re.compile(r"^[ \t]*(`{3,}|~{3,})[^\n]*\n[\s\S]*?(?:^[ \t]*\1[`~]*[ \t]*$|\Z)", re.M)
 BLANK = re.compile(r"\n[^\S\n]*\n")
@@ -50,7 +53,7 @@ HEADING = re.compile(r"\s*#{1,6}\s")
 SENTENCE = re.compile(r"(?<=[.!?।؟;…])[\"”»’)]*\s+|(?<=[。！？])")
 DENSE = "぀-ヿ㐀-䶿一-鿿฀-๿"
 TOKEN = re.compile(
-    r"\[[^\]\n]{0,200}\]\([^)\s]*\)|<a\b[^>]*>[\s\S]{0,200}?</a>|(?:https?://|www\.)[^\s<>)\"]+|(?<!\w)#[^\W\d_]\w*|`[^`\n]+`|<[^>\n]{1,60}>|&\w+;|[$€£¥]\s?\d[\d.,]*|\d+[.,]\d{2}\b|\(?#?\d[\w.,:/%-]*\)?"
+    r"\[[^\]\[\n]*\]\([^)\s]*\)|<a\b[^>]*>(?:[^<]|<(?!/a>|a\b))*</a>|(?:https?://|www\.)[^\s<>)\"]+|(?<!\w)#[^\W\d_]\w*|`[^`\n]+`|<[^<>\n]+>|&\w+;|[$€£¥]\s?\d[\d.,]*|\d+[.,]\d{2}\b|\(?#?\d[\w.,:/%-]*\)?"
     + f"|[{DENSE}]+"
     + r"|[^\W\d_](?:[\w'’\u0300-\u036f\u064b-\u065f\u0900-\u0963-]*[\w\u0300-\u036f\u064b-\u065f\u0900-\u0963])?|[^\w\s]"
 )
@@ -203,54 +206,64 @@ def pieces(text: str) -> list[str]:
     return out
 
 
-def windows(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The trigrams of a sequence as numbers, and where they are counted: not over the start of a piece."""
-    a, b, c = ids[:-2].astype(np.int64), ids[1:-1].astype(np.int64), ids[2:].astype(np.int64)
-    return (a * size + b) * size + c, c != START
+def windows(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of a sequence's trigrams, the numbers of the bigrams they begin with, and where they are counted: not
+    over the start of a piece."""
+    a, b, c = ids[:-2].astype(np.uint64), ids[1:-1].astype(np.uint64), ids[2:].astype(np.uint64)
+    pair = a * np.uint64(size) + b
+    place = (pair * np.uint64(size) + c + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+    return (place % np.uint64(BUCKETS)).astype(np.int64), pair.astype(np.int64), ids[2:] != START
+
+
+class Side:
+    """One model: counts of trigrams by place and of the bigrams they begin with, and the log-free lower orders."""
+
+    def __init__(self, triples: np.ndarray, heads: np.ndarray, tails: np.ndarray, size: int):
+        bi = tails.reshape(size, size).astype(np.float64)
+        self.c3, self.c2 = triples.astype(np.float32), heads.astype(np.float32)
+        low = WEIGHTS[1] * bi / (bi.sum(1)[:, None] + ADDED) + WEIGHTS[2] * bi.sum(0)[None, :] / max(1.0, bi.sum()) + FLOOR
+        self.low = low.ravel().astype(np.float32)
+
+    def logs(self, place: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        return np.log(WEIGHTS[0] * self.c3[place] / (self.c2[head] + ADDED) + self.low[tail])
 
 
 class Contrast:
-    """For each trigram the log probability under prose less that under the other model."""
-
-    def __init__(self, counts: dict[bool, dict[int, int]], size: int):
-        self.size = size
-        keys = np.array(sorted({*counts[False], *counts[True]}), dtype=np.int64)
-        seen, unseen = np.zeros(len(keys)), np.zeros((size, size))
-        for sign, other in ((1, False), (-1, True)):
-            c3 = np.array([counts[other].get(int(k), 0) for k in keys], dtype=float)
-            a, b, c = keys // (size * size), keys // size % size, keys % size
-            c2 = np.bincount(a * size + b, c3, size * size) if len(keys) else np.zeros(size * size)
-            bi = np.bincount(b * size + c, c3, size * size).reshape(size, size) if len(keys) else np.zeros((size, size))
-            c1, c0 = bi.sum(1), bi.sum(0)
-            low = WEIGHTS[1] * bi / (c1[:, None] + ADDED) + WEIGHTS[2] * c0[None, :] / max(1.0, c0.sum()) + FLOOR
-            unseen += sign * np.log(low)
-            if len(keys):
-                seen += sign * np.log(WEIGHTS[0] * c3 / (c2[a * size + b] + ADDED) + low[b, c])
-        self.keys, self.seen, self.unseen = keys, seen, unseen
-
-    def off_shares(self, pages: pa.StructArray) -> pa.Array:
-        """For each page the share of its visible text in pieces that are likelier under the other model."""
+    """The perplexities of pieces under prose and under the other model."""
+
+    def __init__(self, sides: dict[bool, Side], size: int):
+        self.sides, self.size = sides, size
+
+    def judge(self, pages: pa.StructArray) -> pa.Array:
+        """For each page the share of its visible text in pieces that are likelier under the other model, and the page's
+        perplexity under the prose model and under the other."""
         ids, sizes = pages.field("ids"), pages.field("sizes")
         of = np.diff(sizes.offsets.to_numpy()) * np.asarray(sizes.is_valid())
         size = sizes.flatten().to_numpy(zero_copy_only=False).astype(float)
         x = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        off = np.zeros(len(of) + 1)
+        n = len(of)
+        off, prose, other = np.zeros(n), np.ones(n), np.ones(n)
         if len(size):
-            keys, valid = windows(x, self.size)
-            ratio = self.unseen[x[1:-1], x[2:]]
-            if len(self.keys):
-                at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-                ratio = np.where(self.keys[at] == keys, self.seen[at], ratio)
+            place, head, valid = windows(x, self.size)
+            tail = x[1:-1] * self.size + x[2:]
+            a, b = (np.where(valid, self.sides[k].logs(place, head, tail), 0.0) for k in (False, True))
             starts = np.flatnonzero((x[:-1] == START) & (x[1:] == START))
-            sums = np.add.reduceat(np.where(valid, ratio, 0.0), starts)
-            page = np.repeat(np.arange(len(of)), of)
-            off[:-1] = np.bincount(page, size * (sums < 0), len(of)) / np.maximum(1.0, np.bincount(page, size, len(of)))
-        return pa.array(off[:-1])
+            page = np.repeat(np.arange(n), of)
+            sums = [np.add.reduceat(v, starts) for v in (a, b, valid.astype(float))]
+            off = np.bincount(page, size * (sums[0] < sums[1]), n) / np.maximum(1.0, np.bincount(page, size, n))
+            total = np.maximum(1.0, np.bincount(page, sums[2], n))
+            prose, other = (np.exp(-np.bincount(page, v, n) / total) for v in sums[:2])
+        return pa.StructArray.from_arrays([pa.array(v) for v in (off, prose, other)], names=["off_share", "prose_perplexity", "other_perplexity"])
 
 
-def count_trigrams(pages: DataFrame, flag: str, size: int) -> dict[bool, dict[int, int]]:
-    """Trigrams of the pages by the boolean column ``flag``. Batches are counted where they lie; only sums are moved."""
-    kind = pa.schema([("other", pa.bool_()), ("t", pa.int64()), ("n", pa.int64())])
+JUDGED = T.StructType([T.StructField(k, T.DoubleType()) for k in ("off_share", "prose_perplexity", "other_perplexity")])
+TRIPLE, HEAD, TAIL = range(3)
+
+
+def count_classes(pages: DataFrame, flag: str, size: int) -> dict[bool, Side]:
+    """The models of the pages by the boolean column ``flag``. Batches are counted where they lie; only sums are moved,
+    at most BUCKETS + 2 * size * size for each model."""
+    kind = pa.schema([("other", pa.bool_()), ("what", pa.int8()), ("t", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -260,41 +273,46 @@ def count_trigrams(pages: DataFrame, flag: str, size: int) -> dict[bool, dict[in
             ids = column.flatten().to_numpy(zero_copy_only=False)
             if len(ids) < 3:
                 continue
-            keys, valid = windows(ids, size)
+            place, head, valid = windows(ids, size)
+            tail = ids[1:-1].astype(np.int64) * size + ids[2:]
             of = np.repeat(flags, lengths)[2:]
             for other in (False, True):
-                t, n = np.unique(keys[valid & (of == other)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), other)), pa.array(t), pa.array(n)], schema=kind)
+                for what, keys in ((TRIPLE, place), (HEAD, head), (TAIL, tail)):
+                    t, n = np.unique(keys[valid & (of == other)], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), other)), pa.array(np.full(len(t), what, np.int8)), pa.array(t), pa.array(n)], schema=kind)
+
+    rows = pages.where("ids is not null").select(F.col(flag).alias("flag"), "ids").mapInArrow(run, "other boolean, what byte, t long, n long").groupBy("other", "what", "t").agg(F.sum("n").alias("n")).toPandas()
+
+    def dense(other: bool, what: int, length: int) -> np.ndarray:
+        x = rows[(rows["other"] == other) & (rows["what"] == what)]
+        out = np.zeros(length)
+        out[x["t"].to_numpy(np.int64)] = x["n"].to_numpy(float)
+        return out
 
-    rows = pages.where("ids is not null").select(F.col(flag).alias("flag"), "ids").mapInArrow(run, "other boolean, t long, n long").groupBy("other", "t").agg(F.sum("n").alias("n")).limit(MAX_TRIGRAMS + 1).toPandas()
-    if len(rows) > MAX_TRIGRAMS:
-        raise ValueError(f"more than {MAX_TRIGRAMS} class trigrams")
-    return {other: dict(zip(x["t"].tolist(), x["n"].tolist())) for other in (False, True) for x in [rows[rows["other"] == other]]}
+    return {other: Side(dense(other, TRIPLE, BUCKETS), dense(other, HEAD, size * size), dense(other, TAIL, size * size), size) for other in (False, True)}
 
 
 def spam_pages(df: DataFrame, words: dict[str, list[str]], key: str, text: str = "text") -> DataFrame:
-    """key, off_share, spam of every page of df."""
+    """key, off_share, prose_perplexity, other_perplexity, spam of every page of df."""
     ship(df.sparkSession)
-    checkpoint_dir(df.sparkSession)
     classes = Classes(words)
-    pages = with_struct(df.select(F.col(key), F.col(text).alias("_t")), "_t", "s", SEQUENCES, classes).select(key, "s.*").checkpoint()
+    pages = staged(with_struct(df.select(F.col(key), F.col(text).alias("_t")), "_t", "s", SEQUENCES, classes).select(key, "s.*"))
     # the usual share of function words in sentences, by language; a table with a row for each language
     usual = pages.where(F.col("lang") != "und").groupBy("lang").agg((F.sum("sentence_k") / F.sum("sentence_n")).alias("rate"))
     rate = F.least(F.lit(0.9), F.greatest(F.lit(0.02), F.coalesce("rate", F.lit(USUAL))))
     z = (F.col("k") - F.col("n") * rate) / F.sqrt(F.greatest(F.lit(1.0), F.col("n") * rate * (1 - rate)))
     few = F.when((F.col("n") >= LEAST_TOKENS) & (F.col("k") < SEED_PART * F.col("n") * rate), z).otherwise(0.0)
-    pages = pages.join(F.broadcast(usual), "lang", "left").withColumn("few", F.coalesce(few, F.lit(0.0))).withColumn("spam", F.col("few") < SEED)
+    pages = pages.join(F.broadcast(usual), "lang", "left").withColumn("spam", F.coalesce(few, F.lit(0.0)) < SEED).select(key, "n", "ids", "sizes", "spam")
     for _ in range(ROUNDS):
-        model = Contrast(count_trigrams(pages, "spam", classes.size), classes.size)
+        model = Contrast(count_classes(pages, "spam", classes.size), classes.size)
         packed = F.struct("ids", "sizes")
-        pages = with_batch(pages.drop("off_share", "spam").withColumn("_p", packed), "_p", "off_share", T.DoubleType(), model.off_shares).drop("_p")
-        off = F.when(F.col("n") >= LEAST_TOKENS, F.col("off_share")).otherwise(0.0)
-        pages = pages.withColumn("spam", F.coalesce((F.col("few") < SEED) | (off > LEAST_SHARE) | (off > BOTH_SHARE) & (F.col("few") < BOTH_SEED), F.lit(False)))
-    return pages.select(key, "off_share", "spam")
+        judged = with_batch(pages.select(key, "n", "ids", "sizes", packed.alias("_p")), "_p", "j", JUDGED, model.judge)
+        pages = judged.select(key, "n", "ids", "sizes", "j.*").withColumn("spam", F.coalesce((F.col("off_share") > LEAST_SHARE) & (F.col("n") >= LEAST_TOKENS), F.lit(False)))
+    return pages.select(key, *JUDGED.names, "spam")
 
 
 def p9_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, off_share, spam of every document."""
+    """doc_id, off_share, perplexities and spam of every document."""
     return spam_pages(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), function_words(spark, sf_dir), "doc_id")
 
 

@@ -179,6 +179,22 @@ def test_languages_of_a_table(spark):
     assert {r["id"]: r["n"] for r in got} == {1: 1, 2: 0}
 
 
+def test_the_models_decide_on_pages(spark):
+    import random
+
+    r = random.Random(4)
+    nouns = "reader parser cache index log table branch module key row".split()
+    prose = [" ".join(f"The {r.choice(nouns)} of the {r.choice(nouns)} is in a {r.choice(nouns)} that is for the {r.choice(nouns)}." for _ in range(12)) for _ in range(150)]
+    stuffed = [" ".join(r.choice(("cheap", "buy", "free", "best", *nouns)) for _ in range(80)) for _ in range(20)]
+    short = ["buy cheap, buy free, buy best"] * 3  # too few words for the deviation of function words, and a stub
+    pages = [(i, t) for i, t in enumerate([*prose, *stuffed, *short, None, ""])]
+    got = {x["id"]: x for x in spam.spam_pages(spark.createDataFrame(pages, "id long, text string"), WORDS, "id").collect()}
+    assert {i for i, x in got.items() if x["spam"]} == set(range(150, 170))
+    assert all(got[i]["prose_perplexity"] > got[i]["other_perplexity"] for i in range(150, 170))
+    link = "[" + "word " * 60 + "](http://x.example/y)"
+    assert spam.TOKEN.findall(link) == [link]
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="the test tables aren't here")
 @pytest.mark.parametrize("name", [n for n in QUERIES if n.endswith("_found")])
 def test_results_do_not_depend_on_partitions(spark, name):
