@@ -3,8 +3,8 @@
 ``extract`` takes the comments and string literals out of a source file by one regular expression per comment style.
 ``languages`` finds the function words of all languages in these spans by a single Aho-Corasick pass; a hit counts if
 it stands between word boundaries, and gives each of the n languages that have the word 1/n of a vote. The votes
-decide among languages that share a script; writing systems of one language, and those without spaces, are settled by
-their code point ranges. Disabled code, identifiers, queries, paths, patterns and other technical strings are no
+decide among the languages of a sentence's script; writing systems without spaces are settled by
+their code point ranges, as are sentences without any function word. Disabled code, identifiers, queries, paths, patterns and other technical strings are no
 sentences.
 
 Defined results: null, empty or blank source has no language. A file without a known language of code is read with the
@@ -15,13 +15,14 @@ equal results, and ``p3_found`` returns them once. Sources of any length are rea
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .lang import DENSE, DENSE_OR_THAI, SCRIPT_OF_LANG, THAI, UNSPACED, WORD, function_words, scripts, units
+from .lang import DENSE_OR_THAI, ONLY_SCRIPT, SCRIPT_OF_LANG, UNSPACED, function_words, scripts, units
 from .rows import with_struct
 
 RESULT = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("sentences", T.LongType()), T.StructField("letters", T.LongType()), T.StructField("share", T.DoubleType())]))
@@ -70,6 +71,14 @@ PRIOR = 0.35
 LEAST_SENTENCES = 2
 
 
+UNSPACED_SCRIPTS = {SCRIPT_OF_LANG[k]: k for k in UNSPACED}
+
+
+def inside(c: str) -> bool:
+    """Whether a character beside a word belongs to it: letters, figures, combining marks, apostrophes, underlines."""
+    return c.isalnum() or c in "_'’" or c > "\u02ff" and unicodedata.category(c)[0] == "M"
+
+
 def unescape(s: str) -> str:
     """Code point escapes and line ends of a literal; other escaped characters stand for themselves."""
 
@@ -104,7 +113,7 @@ def extract(source: str, kind: str) -> list[str]:
         between = source[last_end : m.start()] if last_end >= 0 else "x"
         if which == last_kind and which in "hl" and between.strip() == "" and between.count("\n") == 1 and out:
             out[-1] += "\n" + body
-        elif which == last_kind == "s" and out and between.strip() in ("+", ".", "", "\\", "..", "<<") and len(between) < 200:
+        elif which == last_kind == "s" and out and between.strip() in ("+", ".", "", "\\", "..", "<<"):
             out[-1] += body
         else:
             out.append(body)
@@ -144,7 +153,7 @@ class Finder:
 
         of: dict[str, list[str]] = {}
         for lang, ws in sorted(self.words.items()):
-            if lang not in UNSPACED and lang not in SCRIPT_OF_LANG:
+            if lang not in UNSPACED:
                 for w in ws:
                     of.setdefault(w.casefold(), []).append(lang)
         self.automaton = ahocorasick.Automaton()
@@ -152,9 +161,13 @@ class Finder:
             self.automaton.add_word(w, (len(w), tuple(dict.fromkeys(langs))))
         self.automaton.make_automaton()
         self.known = bool(of)
+        self.script_of = {}
+        for lang, ws in self.words.items():
+            found = scripts(" ".join(ws))
+            self.script_of[lang] = max(found, key=lambda k: (found[k], k), default="latin")
 
     def __getstate__(self) -> dict:
-        return {"words": self.words, "automaton": None}
+        return {"words": self.words, "automaton": None}  # each worker builds its own
 
     def votes(self, pieces: list[str]) -> list[dict[str, float]]:
         """For each piece the votes of the words in it, by one pass over all pieces."""
@@ -172,7 +185,7 @@ class Finder:
         k, n = 0, len(text)
         for end, (size, langs) in self.automaton.iter(text):
             start = end - size + 1
-            if (start and (text[start - 1].isalnum() or text[start - 1] in "_'’")) or (end + 1 < n and (text[end + 1].isalnum() or text[end + 1] in "_'’")):
+            if start and inside(text[start - 1]) or end + 1 < n and inside(text[end + 1]):
                 continue
             while end >= ends[k]:
                 k += 1
@@ -181,11 +194,13 @@ class Finder:
         return out
 
     def __call__(self, pieces: list[str]) -> list[str | None]:
-        latin: list[int] = []
+        voted: list[int] = []
+        script: dict[int, str] = {}
         out: list[str | None] = [None] * len(pieces)
         for i, p in enumerate(pieces):
             if p.isascii():
-                latin.append(i)
+                voted.append(i)
+                script[i] = "latin"
                 continue
             found = scripts(p)
             cjk = found.get("kana", 0) + found.get("han", 0)
@@ -193,13 +208,16 @@ class Finder:
                 out[i] = "ja"
                 continue
             best = max((k for k in found), key=lambda k: (found[k] * (3 if k in ("han", "hangul") else 1), k), default=None)
-            if best == "latin":
-                latin.append(i)
+            if best in UNSPACED_SCRIPTS:
+                out[i] = UNSPACED_SCRIPTS[best]
             elif best is not None:
-                out[i] = next(k for k, v in SCRIPT_OF_LANG.items() if v == best)
-        votes = self.votes([pieces[i] for i in latin])
-        for i, v in zip(latin, votes):
-            if not pieces[i].isascii():
+                voted.append(i)
+                script[i] = best
+        votes = self.votes([pieces[i] for i in voted])
+        for i, v in zip(voted, votes):
+            for lang in [k for k in v if self.script_of[k] != script[i]]:
+                del v[lang]
+            if script[i] == "latin" and not pieces[i].isascii():
                 for c in LETTER_VOTES.keys() & set(pieces[i].lower()):
                     for lang in LETTER_VOTES[c]:
                         v[lang] = v.get(lang, 0.0) + HINT / len(LETTER_VOTES[c])
@@ -207,10 +225,12 @@ class Finder:
         for v in votes:
             total.update(v)
         weight = total.total() or 1.0
-        for i, v in zip(latin, votes):
+        for i, v in zip(voted, votes):
             # the file's other sentences settle near ties
             if v:
                 out[i] = max(v, key=lambda k: (v[k] * (PRIOR + total[k] / weight), k))
+            elif script[i] != "latin":
+                out[i] = ONLY_SCRIPT.get(script[i])
             elif pieces[i].isascii():
                 out[i] = "en"
         return out

@@ -1,9 +1,9 @@
 """Per-document text statistics, and the texts that are lists, tables or junk instead of prose (problem 1).
 
-``text_stats`` adds a struct of statistics to every row. Tables are found by the vertical alignment of delimiters
-(the same delimiters, as often, in line after line), lists by short lines that no wrapping explains and
-by separators, junk by the shape of words and the share of signs. The period of indentation, the autocorrelation of line
-lengths and the ratios of the whole text are reported only. Lines belong to one wrapped text
+``text_stats`` adds a struct of statistics to every row. Blocks without sentences get a form of their own: tables by the
+vertical alignment of delimiters (the same delimiters, as often, in line after line), lists by short lines that no
+wrapping explains, by separators, and by the recurrence of their lines (the period of indentation, or the
+autocorrelation of line lengths at the lags of a group of lines), junk by the shape of words and the share of signs. Lines belong to one wrapped text
 if the next line's first word wouldn't have fitted on them; only then may a sentence run over a line's end.
 
 Defined results: null, empty or blank text has ``n_visible`` 0, all ratios 0 and form ``empty``. Every row is measured
@@ -42,6 +42,7 @@ END = re.compile(r"[.!?।؟;。！？…‥]+[\"'”»’)\]」』*_]*$")
 SPLIT = re.compile(r"(?<=[。！？])|(?:(?<=[.!?।؟;…])|(?<=[.!?।؟;…][\"”»’)\]」』]))\s+")
 #: What may stand before a list item or heading.
 MARKER = re.compile(r"^\s*(?:[-*+•·◦▪‣–—>»#]+|\(?\d{1,4}[.):]|\(?[A-Za-z][.)]|\[[ xX✓]?\]|[☐☑✓✔☒])\s+")
+NUMBER = re.compile(r"^\s*\(?\d+[.):]\s")
 CELL = {"|": re.compile(r"[|│┃║]"), "\t": re.compile(r"\t"), ",": re.compile(r","), ";": re.compile(r";"), "  ": re.compile(r"(?<=\S)[^\S\n]{2,}(?=\S)")}
 RULING = re.compile(r"^[\s|│┃║+:=_\-─━═┼╪╬┬┴├┤┌┐└┘╔╗╚╝╠╣╦╩]+$")
 HEX = re.compile(r"[0-9a-fA-F]{2}|[0-9a-fA-F]{6,}")
@@ -51,6 +52,9 @@ SEPARATOR = re.compile(r"\s*(;+|•|\||·|,+(?!\s*\d)|/|§|»)(?:\s+|$)")
 #: The dots between an entry of a table of contents and its page.
 LEADER = re.compile(r"\s?(?:\.{3,}|(?:\. ){3,}|…{2,}|·{3,}|_{3,})\s?\S{0,6}$")
 CSV_CELL_WORDS = 4
+#: Lines of a group that recurs, and how strongly it has to; rows of a list that only recurrence shows have so many words
+#: at most, and there are so many of them.
+LAGS, LEAST_RECURRENCE, ROW_WORDS, LEAST_ROWS = (1, 2, 3, 4), 0.5, 12, 4
 
 
 def ratio(a: float, b: float) -> float:
@@ -67,6 +71,23 @@ def autocorrelation(x: list[float], lag: int = 1) -> float:
     return sum((x[i] - m) * (x[i + lag] - m) for i in range(n - lag)) / var if var else 0.0
 
 
+def recurrence(lines: list[str]) -> tuple[float, float]:
+    """The strongest period of the indentation, and of the line lengths, among groups of so many lines as LAGS says."""
+    indents = [float(len(x) - len(x.lstrip())) for x in lines]
+    lengths = [float(len(x)) for x in lines]
+    return max((autocorrelation(indents, k) for k in LAGS), default=0.0) if any(indents) else 0.0, max((autocorrelation(lengths, k) for k in LAGS), default=0.0)
+
+
+def marked(lines: list[str]) -> list[bool]:
+    """Which lines begin with the mark of an item. A number that only one line begins with, and not the first, was put
+    there by wrapping."""
+    out = [MARKER.match(x) is not None for x in lines]
+    numbered = [i for i, x in enumerate(lines) if out[i] and NUMBER.match(x)]
+    if len(numbered) == 1 and numbered[0]:
+        out[numbered[0]] = False
+    return out
+
+
 def wrapped(lines: list[str]) -> bool:
     """Whether the breaks come from wrapping: the next line's first word wouldn't have fitted."""
     if len(lines) < 2:
@@ -149,6 +170,8 @@ def block_form(lines: list[str]) -> tuple[str, float]:
         return "short", share
     if all(units(x) <= ITEM_WORDS for x in bare):
         return "list", share
+    if len(lines) >= LEAST_ROWS and max(recurrence(lines)) >= LEAST_RECURRENCE and sum(map(units, bare)) <= ROW_WORDS * len(lines):
+        return "list", share
     return "junk", share
 
 
@@ -187,13 +210,13 @@ def describe(text: str | None, common: frozenset[str]) -> dict:
         size, good = visible(block), 0
         # marked lines begin an item of their own; the lines after them may continue it
         groups: list[list[str]] = []
-        for x in own:
-            if groups and not MARKER.match(x) and not MARKER.match(groups[-1][0]):
-                groups[-1].append(x)
-            elif groups and not MARKER.match(x) and len(x) - len(x.lstrip()) >= 2:
+        item = False
+        for x, starts in zip(own, marked(own)):
+            if groups and not starts and (not item or len(x) - len(x.lstrip()) >= 2):
                 groups[-1].append(x)
             else:
                 groups.append([x])
+                item = starts
         for g in groups:
             for piece in [" ".join(x.strip() for x in g)] if wrapped(g) else g:
                 piece = MARKER.sub("", piece)
@@ -214,9 +237,7 @@ def describe(text: str | None, common: frozenset[str]) -> dict:
     out["punct_end_share"] = ratio(sum(END.search(x.rstrip()) is not None for x in lines), len(lines))
     out["common_word_share"] = ratio(sum(w in common for w in words), len(words))
     out["delimiter_alignment"] = aligned
-    indents = [float(len(x) - len(x.lstrip())) for x in lines]
-    out["indent_period"] = max((autocorrelation(indents, k) for k in (1, 2, 3, 4)), default=0.0) if any(indents) else 0.0
-    out["length_autocorrelation"] = autocorrelation([float(len(x)) for x in lines])
+    out["indent_period"], out["length_autocorrelation"] = recurrence(lines)
     for k in ("sentence", "list", "table", "junk"):
         out[f"{k}_share"] = shares[k] / total
     outside = 1 - out["sentence_share"]

@@ -85,6 +85,20 @@ def test_languages_of_code():
     assert got == {"en": 2, "ru": 2}
 
 
+def test_votes_reach_all_spaced_scripts():
+    words = WORDS | {"uk": ["та", "не", "що"], "hi": ["का", "है"]}
+    find = code_language.Finder(words)
+    assert find(["Файл та каталог що лежить", "файл и каталог в доме", "सूची का अंत है", "Только слова"]) == ["uk", "ru", "hi", "ru"]
+    assert find.votes(["काम है"])[0] == {"hi": 1.0}
+    far = "x = 'The value is in the list ' +" + " " * 300 + "'and it is for the file.'\n"
+    assert code_language.extract(far, "python") == ["The value is in the list and it is for the file."]
+
+
+@pytest.mark.parametrize(("form", "text"), [("prose", "El lector guarda el valor cuando el contador pasa de\n24. El analizador no cambia la lista vieja en el\nregistro de la segunda vuelta."), ("list", "\n".join(f"{a} set by {b} of {c} run kept as {d}\n    {b}" for a, b, c, d in zip("red blue sea ice oak elm".split(), "lamp door wall roof floor gate".split(), "north south east west inner outer".split(), "glass stone wood iron copper brick".split())))])
+def test_numbers_of_wrapped_lines_and_recurring_rows(form, text):
+    assert prose.describe(text, frozenset(WORDS["en"]))["form"] == form
+
+
 def test_provenance_marks():
     body = "\n".join(f"def part_{w}(a, b):\n    return a.{w} + b" for w in "one two six ten red sea".split())
     own = provenance.sketch("src/a.py", body.encode())
