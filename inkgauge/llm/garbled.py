@@ -4,17 +4,19 @@ Three kinds of damage are told apart. ``hard`` finds what a single record proves
 C1 controls, UTF-8 bytes read in a single-byte code page (the stretch, written back in that page, is UTF-8 again and
 gives letters that are in use), UTF-8 read in an East Asian code page, East Asian bytes read as Latin-1. The rest, one
 code page taken for another, is a substitution cipher: ``swaps`` learns it by expectation-maximization. Bigrams of
-letters are counted over the words of all records; for each source the E step weighs, for every word with a letter
-beyond ASCII that the bigrams find unlikely, the hypotheses "sound" and "read in A instead of B" by the likelihood of
-what the mapping gives; the M step re-estimates the hypotheses' weights by source. The mappings themselves are the published ones and
-stay as they are. A source that holds much of the corpus is judged by the bigrams of all others. How often the restored word occurs,
-against the damaged one in other sources, goes into the posterior as evidence, so neither a source that is damaged
-throughout nor a word that occurs nowhere intact is left out if the likelihoods are clear.
-``restore`` applies the learned mapping by translate().
+letters are counted over the words of all records; scripts and their languages share none. A hypothesis is a table of letters for
+characters; each source has one for every pair of code pages, which gives the letters to start from. The E step weighs,
+for every word with a letter beyond ASCII that the bigrams find unlikely, "sound" and the source's tables by the
+likelihood of what they make of the word, and within each table the letters that a character may stand for by the
+bigrams on both sides. The M step re-estimates the weights and the letters of each source's tables, until no letter
+changes; then the bigrams are counted again without the words that seem damaged. A source that holds much of the corpus is judged by the bigrams of all others. How often the restored word
+occurs, against the damaged one where other sources are sound, goes in as evidence, and the words of a record that one
+table explains count together, so neither a source that is damaged throughout nor a word that occurs nowhere intact is
+left out if the likelihoods are clear. ``learned`` gives the words restored by the learned tables.
 
 Defined results: null and empty texts are sound. Bytes with a byte order mark are read by it; other bytes that aren't
 UTF-8 are sound in another encoding. Redelivered rows are found once. A record is found if one character of it is
-damaged, restorable or not. Texts are read whole.
+damaged, restorable or not. Texts and words are read whole.
 """
 
 from __future__ import annotations
@@ -23,14 +25,14 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir, ship
+from ..session import ship, staged
 from .rows import with_struct
 
 SCAN = T.StructType([T.StructField("hard", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("undone", T.StringType())])
@@ -317,15 +319,23 @@ PAIRS = _pairs()
 #: Log probability of a bigram that the corpus doesn't have; weight of the hypothesis "sound" to begin with.
 UNSEEN, SOUND = math.log(1e-7), 0.98
 #: A word is looked at if one of its bigrams is less likely than this; it is damaged from this log ratio on.
-RARE, LEAST_RATIO = math.log(2e-4), 4.0
-#: Log odds of damage, with the words' frequencies, from which a word is claimed.
-LEAST_ODDS = 4.0
+RARE, LEAST_RATIO = math.log(1e-3), 4.0
+#: Log odds of damage, of all words of a record together, from which it is claimed; what a single word adds at most.
+LEAST_ODDS, MOST_EACH = 4.0, 15.0
 #: Off the likelihood for each capital after a small letter.
 ODD_CASE = 2.0
-MAX_BIGRAMS = 2_000_000
+#: A bound on letter bigrams, which follows from the alphabets: pairs of the letters of one script (uncased scripts are
+#: left out) or of a letter and a word's end. Characters beyond the most frequent are counted as one.
+MAX_LETTERS = 1_000
 #: A source with more than the first share of all words, up to the second, is judged by the other sources' bigrams.
 LARGE, LARGEST = 0.02, 0.5
-ROUNDS = 2
+#: Rounds of expectation and maximization at most, what a code page's letter weighs before any word is seen, and how
+#: much likelier another letter has to be.
+ROUNDS, PAGE_WEIGHT, LEAST_LETTER = 6, 5.0, 0.7
+#: A code page's letter gives way only to one that fits so many places in words.
+LEAST_PLACES = 3
+#: The bigrams are counted again so often, without what then seems damaged; fewer uses than this count as none.
+PASSES, LEAST_COUNT = 2, 0.5
 
 
 def bigrams(word: str) -> list[str]:
@@ -337,30 +347,57 @@ class Model:
     """Bigram likelihoods, and the published mappings."""
 
     def __init__(self, counts: dict[str, int]):
-        first: Counter[str] = Counter()
+        self.first: Counter[str] = Counter()
         for g, n in counts.items():
-            first[g[0]] += n
-        self.logp = {g: math.log(n / (first[g[0]] + 50)) for g, n in counts.items()}
-        self.maps = PAIRS
+            self.first[g[0]] += n
+        self.counts = counts
+        self.logp = {g: math.log(n / (self.first[g[0]] + 50)) for g, n in counts.items()}
+        #: The letters that follow each, and come before each, the likeliest first.
+        self.near: dict[str, list[str]] = {}
+        for g, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
+            if g[1] != "$" and len(self.near.setdefault(g[0], [])) < 8:
+                self.near[g[0]].append(g[1])
 
     def score(self, word: str) -> float:
         odd = sum(a.islower() and b.isupper() for a, b in zip(word, word[1:])) if word[1:].lower() != word[1:] else 0
         return sum(self.logp.get(g, UNSEEN) for g in bigrams(word)) - ODD_CASE * odd
 
-    def suspicious(self, word: str) -> bool:
-        return any(self.logp.get(g, UNSEEN) < RARE for g in bigrams(word))
-
-    def hypotheses(self, word: str) -> list[tuple[str, str, float]]:
-        """The mappings that change the word and give letters, with their log likelihood ratio to "sound"."""
-        base, out, seen = self.score(word), [], set()
+    def as_it_stands(self, word: str, uses: float) -> tuple[float, bool]:
+        """The score of a word, so many uses of its own left out, and whether one of its bigrams is rare then."""
+        logs = []
+        for g in bigrams(word):
+            k = self.counts.get(g, 0.0) - uses
+            logs.append(math.log(k / (self.first[g[0]] - uses + 50)) if k > LEAST_COUNT else UNSEEN)
+        return sum(logs) + self.score(word) - sum(self.logp.get(g, UNSEEN) for g in bigrams(word)), min(logs) < RARE
+
+    def hypothesis(self, word: str, table: dict[int, str], base: float) -> tuple[str, float] | None:
+        """What a table makes of the word, if that changes it and gives letters, with its log likelihood ratio to "sound"."""
+        s = word.translate(table)
+        if s == word or not all(c.isalpha() or c in "’-'" for c in s if ord(c) >= 0x80):
+            return None
+        return s, self.score(s) - base
+
+    def hypotheses(self, word: str, base: float) -> list[tuple[str, str, float, float]]:
+        """The code pages' tables that change the word, which scores ``base`` as it stands, and give likelier letters."""
+        out = []
         codes = [ord(c) for c in word if ord(c) >= 0x80]
-        for z, m in self.maps.items():
-            if any(c not in m for c in codes):
-                continue
-            s = word.translate(m)
-            if s == word or not all(c.isalpha() or c in "’-'" for c in s if ord(c) >= 0x80):
-                continue
-            out.append((z, s, self.score(s) - base))
+        for z, m in PAIRS.items():
+            if all(c in m for c in codes) and (h := self.hypothesis(word, m, base)):
+                out += [(z, h[0], base, h[1])] if h[1] > 0 else []
+        return out
+
+    def letters(self, word: str, restored: str) -> list[tuple[str, str, float]]:
+        """For each replaced character the letters it may stand for, weighed by the bigrams on both sides."""
+        out = []
+        if len(word) == len(restored):
+            w = f"^{restored.casefold()}$"
+            for i, (c, l) in enumerate(zip(word, restored), 1):
+                if ord(c) < 0x80:
+                    continue
+                options = {w[i], *self.near.get(w[i - 1], ())}
+                weigh = {o: math.exp(self.logp.get(w[i - 1] + o, UNSEEN) + self.logp.get(o + w[i + 1], UNSEEN)) for o in options}
+                total = sum(weigh.values())
+                out += [(c, o.upper() if l.isupper() and len(o.upper()) == 1 else o, v / total) for o, v in weigh.items() if v > 0.05 * total]
         return out
 
 
@@ -368,18 +405,16 @@ def words_of(scanned: DataFrame) -> DataFrame:
     return scanned.where("hard is null").select("source", F.explode("words").alias("word"))
 
 
-def swaps(scanned: DataFrame) -> DataFrame:
-    """source, word, page_pair, restored: the words of scanned (source, hard, words) that one code page taken for
-    another explains. Only counts by bigram, and sums by mapping and character, leave the executors."""
-    spark = scanned.sparkSession
-    ship(spark)
-    by_source = words_of(scanned).groupBy("source", "word").agg(F.count("*").alias("n")).checkpoint()
-    sums = by_source.groupBy("source").agg(F.sum("n").alias("k"))
-    every = sums.agg(F.sum("k")).first()[0] or 0
-    large = [r["source"] for r in sums.where((F.col("k") > LARGE * every) & (F.col("k") <= LARGEST * every)).collect()]
-    kept = F.when(F.col("source").isin(large), F.col("source")) if large else F.lit(None).cast("string")
+def _fit(by_source: DataFrame, kept: Column, before: DataFrame | None) -> DataFrame:
+    """The posterior of every hypothesis, from bigrams of the words as they stand, or, given a posterior, of those that
+    it takes for sound (by_source: source, word, n; kept: the source, if it is large)."""
+    spark = by_source.sparkSession
+    sound = by_source.withColumn("sound", F.col("n").cast("double"))
+    if before is not None:
+        d = before.groupBy("source", "word").agg(F.sum("p").alias("d"))
+        sound = by_source.join(d, ["source", "word"], "left").withColumn("sound", F.col("n") * (1 - F.least(F.lit(1.0), F.coalesce("d", F.lit(0.0)))))
     # words of large sources, and those of all others together (part null)
-    vocabulary = by_source.groupBy(kept.alias("part"), "word").agg(F.sum("n").alias("n")).checkpoint()
+    vocabulary = staged(sound.groupBy(kept.alias("part"), "word").agg(F.sum("sound").alias("n")))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -387,14 +422,16 @@ def swaps(scanned: DataFrame) -> DataFrame:
             for part, w, n in zip(b["part"].to_pylist(), b["word"].to_pylist(), b["n"].to_pylist()):
                 for g in bigrams(w):
                     c[part, g] += n
-            yield pa.RecordBatch.from_pydict({"part": [k[0] for k in c], "g": [k[1] for k in c], "n": list(c.values())}, schema=pa.schema([("part", pa.string()), ("g", pa.string()), ("n", pa.int64())]))
+            yield pa.RecordBatch.from_pydict({"part": [k[0] for k in c], "g": [k[1] for k in c], "n": list(c.values())}, schema=pa.schema([("part", pa.string()), ("g", pa.string()), ("n", pa.float64())]))
 
-    got = vocabulary.mapInArrow(pairs, "part string, g string, n long").groupBy("part", "g").agg(F.sum("n").alias("n")).limit(MAX_BIGRAMS + 1).collect()
-    if len(got) > MAX_BIGRAMS:
-        raise ValueError(f"more than {MAX_BIGRAMS} letter bigrams")
+    counted = vocabulary.mapInArrow(pairs, "part string, g string, n double").groupBy("part", "g").agg(F.sum("n").alias("n"))
+    # at most MAX_LETTERS first letters; what is rarer gets no bigram and counts as unseen
+    top = counted.groupBy(F.substring("g", 1, 1).alias("c")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(MAX_LETTERS)
+    top = F.broadcast(top.select("c"))
+    kept_g = counted.where("n > 0").join(top, F.substring("g", 1, 1) == F.col("c"), "left_semi").join(top.union(spark.createDataFrame([("$",)], "c string")), F.substring("g", 2, 1) == F.col("c"), "left_semi")
     total: Counter[str] = Counter()
     own: dict[str, dict[str, int]] = {}
-    for r in got:
+    for r in kept_g.collect():
         total[r["g"]] += r["n"]
         if r["part"] is not None:
             own.setdefault(r["part"], {})[r["g"]] = r["n"]
@@ -406,59 +443,90 @@ def swaps(scanned: DataFrame) -> DataFrame:
         if part not in models:
             models.clear()
             mine = own.get(part, {})
-            models[part] = Model({g: k for g, n in counts.items() if (k := n - mine.get(g, 0)) > 1})
+            models[part] = Model({g: k for g, n in counts.items() if (k := n - mine.get(g, 0)) > LEAST_COUNT})
         return models[part]
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("part", "word", "page_pair", "restored", "ratio")
-        schema = pa.schema([(k, pa.string()) for k in names[:4]] + [("ratio", pa.float64())])
-        for b in batches:
-            rows = []
-            for part, w in sorted(zip(b["part"].to_pylist(), b["word"].to_pylist()), key=lambda x: x[0] or ""):
-                model = model_of(part)
-                if model.suspicious(w):
-                    rows += [(part, w, *h) for h in model.hypotheses(w) if h[2] > 0]
-            yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)))) if rows else {k: [] for k in names}, schema=schema)
-
-    # the E step's likelihoods; a word has a row for each hypothesis that beats "sound"
-    likely = vocabulary.select("part", "word").mapInArrow(look, "part string, word string, page_pair string, restored string, ratio double").checkpoint()
-    occurs = by_source.withColumn("part", F.coalesce(kept, F.lit("")))
-    rows = occurs.join(likely.withColumn("part", F.coalesce("part", F.lit(""))), ["part", "word"]).drop("part").checkpoint()
+    def mapped(rows: DataFrame, names: list[str], f: Callable[[Model, dict], list[tuple]], schema: T.StructType) -> DataFrame:
+        """f's rows for each row, given the model of its part."""
+        kind = pa.schema([(x.name, pa.float64() if x.dataType == T.DoubleType() else pa.string()) for x in schema])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = [x for r in sorted(b.to_pylist(), key=lambda r: r["part"]) for x in f(model_of(r["part"] or None), r)]
+                yield pa.RecordBatch.from_pydict(dict(zip(kind.names, map(list, zip(*out)))) if out else {k: [] for k in kind.names}, schema=kind)
+
+        return rows.select(*names).mapInArrow(run, schema)
+
+    text, real = T.StringType(), T.DoubleType()
+    fields = lambda names, *reals: T.StructType([T.StructField(k, text) for k in names] + [T.StructField(k, real) for k in reals])
+    part = F.coalesce(kept, F.lit(""))
+
+    def look(model: Model, r: dict) -> list[tuple]:
+        base, rare = model.as_it_stands(r["word"], 0.0 if r["part"] else min(1.0, r["n"]))
+        return [(r["part"], r["word"], *h) for h in model.hypotheses(r["word"], base)] if rare else []
+
+    likely = staged(mapped(vocabulary.select(F.coalesce("part", F.lit("")).alias("part"), "word", "n"), ["part", "word", "n"], look, fields(("part", "word", "page_pair", "restored"), "base", "ratio")))
+    # a word of a source has a row for each table that beats "sound"
+    rows = staged(by_source.withColumn("part", part).join(likely, ["part", "word"]))
     weight = rows.select("source", "page_pair").distinct().withColumn("w", F.lit((1 - SOUND) / len(PAIRS)))
+    letters = None
     for _ in range(ROUNDS):
-        post = _posterior(rows, weight)
+        post = staged(_posterior(rows, weight))
         by_pair = post.groupBy("source", "page_pair").agg(F.sum(F.col("p") * F.col("n")).alias("k"))
-        total = by_pair.groupBy("page_pair").agg(F.sum("k").alias("all"))
+        every_k = post.agg(F.sum(F.col("p") * F.col("n"))).first()[0] or 1.0
+        all_of = by_pair.groupBy("page_pair").agg(F.sum("k").alias("all"))
         # a source's own weights, drawn towards those of all sources together
-        sums = total.agg(F.sum("all").alias("every"))
-        weight = by_pair.join(total, "page_pair").join(F.broadcast(sums), F.lit(True)).select("source", "page_pair", F.least(F.lit(0.5), (1 - SOUND) * (F.col("k") + 5 * F.col("all") / F.col("every") + 1e-3) / 5).alias("w")).checkpoint()
-    # pages that give the same word count together
-    last = _posterior(rows, weight).checkpoint()
-    alike = last.groupBy("source", "word", "restored").agg(F.sum("p").alias("p"), F.max("ratio").alias("ratio"), F.max_by("page_pair", F.struct("p", "page_pair")).alias("page_pair"))
-    best = alike.groupBy("source", "word").agg(F.max(F.struct("p", "ratio", "page_pair", "restored")).alias("b")).select("source", "word", "b.*")
-    known = by_source.groupBy(F.lower("word").alias("known")).agg(F.sum("n").alias("known_n"))
-    mine = by_source.groupBy("source", F.lower("word").alias("own")).agg(F.sum("n").alias("mine_n"))
-    checked = best.withColumn("own", F.lower("word")).join(known, F.lower("restored") == F.col("known"), "left").join(known.select(F.col("known").alias("own"), F.col("known_n").alias("own_n")), "own", "left").join(mine, ["source", "own"], "left")
-    # the word's own occurrences count against it only in other sources
-    odds = F.log(F.col("p") / F.greatest(1 - F.col("p"), F.lit(1e-12))) + F.log((F.coalesce("known_n", F.lit(0)) + 0.5) / (F.coalesce("own_n", F.lit(0)) - F.coalesce("mine_n", F.lit(0)) + 0.5))
-    return checked.where((odds >= LEAST_ODDS) & (F.col("ratio") >= LEAST_RATIO)).select("source", "word", "page_pair", "restored", "p").checkpoint()
-
-
-def letter_maps(damaged: DataFrame) -> DataFrame:
-    """source, page_pair, characters, letters: for each source and pair of pages the letter that each character most
-    probably stands for, by the posterior weight of the words it occurs in; both strings have the same length."""
-    at = F.explode(F.arrays_zip(F.split("word", "").alias("c"), F.split("restored", "").alias("l")))
-    each = damaged.where(F.length("word") == F.length("restored")).select("source", "page_pair", "p", at.alias("x")).where("x.c <> x.l and x.c <> ''")
-    weights = each.groupBy("source", "page_pair", F.col("x.c").alias("c"), F.col("x.l").alias("l")).agg(F.sum("p").alias("k"))
-    letters = weights.groupBy("source", "page_pair", "c").agg(F.max_by("l", F.struct("k", "l")).alias("l"))
-    both = letters.groupBy("source", "page_pair").agg(F.sort_array(F.collect_list(F.struct("c", "l"))).alias("m"))
-    return both.select("source", "page_pair", F.array_join("m.c", "").alias("characters"), F.array_join("m.l", "").alias("letters"))
-
-
-def restore(damaged: DataFrame) -> DataFrame:
-    """The damaged words with ``restored`` written by the learned letters of their source."""
-    maps = letter_maps(damaged)
-    return damaged.join(maps, ["source", "page_pair"], "left").select("source", "word", "page_pair", F.coalesce(F.call_function("translate", "word", "characters", "letters"), "restored").alias("restored"))
+        weight = staged(by_pair.join(all_of, "page_pair").select("source", "page_pair", F.least(F.lit(0.5), (1 - SOUND) * (F.col("k") + 5 * F.col("all") / every_k + 1e-3) / 5).alias("w")))
+        # the letters: expected counts of what each character stands for, with the code page's letter to begin with
+        each = mapped(post.where("p > 0.05").withColumn("k", F.col("p") * F.col("n")), ["part", "source", "page_pair", "word", "restored", "k"], lambda m, r: [(r["source"], r["page_pair"], c, l, k * r["k"]) for c, l, k in m.letters(r["word"], r["restored"])], fields(("source", "page_pair", "c", "l"), "k"))
+        table = F.create_map(*(x for z, m in PAIRS.items() for x in (F.lit(z), F.lit("".join(map(chr, m))))))
+        to = F.create_map(*(x for z, m in PAIRS.items() for x in (F.lit(z), F.lit("".join(m.values())))))
+        page = F.call_function("translate", "c", table[F.col("page_pair")], to[F.col("page_pair")])
+        sums = each.groupBy("source", "page_pair", "c", "l").agg(F.sum("k").alias("k"), F.count("*").alias("places")).withColumn("k", F.col("k") + F.when(F.col("l") == page, F.lit(PAGE_WEIGHT)).otherwise(0.0))
+        best_l = sums.groupBy("source", "page_pair", "c").agg(F.max(F.struct("k", "l", "places")).alias("b"), F.sum("k").alias("sum"))
+        changed = best_l.where((F.col("b.k") >= LEAST_LETTER * (F.col("sum") + F.lit(PAGE_WEIGHT) * (F.col("b.l") != page).cast("int"))) & (F.col("b.l") != page) & (F.col("b.places") >= LEAST_PLACES))
+        new = staged(changed.groupBy("source", "page_pair").agg(F.sort_array(F.collect_list(F.struct("c", F.col("b.l").alias("l")))).alias("m")).select("source", "page_pair", F.array_join("m.c", "").alias("characters"), F.array_join("m.l", "").alias("letters")))
+        same = new.isEmpty() if letters is None else new.exceptAll(letters).isEmpty() and letters.exceptAll(new).isEmpty()
+        letters = new
+        if same:
+            break
+
+        def again(model: Model, r: dict) -> list[tuple]:
+            m = PAIRS[r["page_pair"]] | {ord(c): l for c, l in zip(r["characters"], r["letters"])}
+            h = model.hypothesis(r["word"], m, r["base"])
+            return [(r["source"], r["word"], r["page_pair"], h[0], r["base"], h[1])] if h and h[1] > 0 else []
+
+        redone = mapped(rows.join(letters, ["source", "page_pair"]), ["part", "source", "word", "page_pair", "characters", "letters", "base"], again, fields(("source", "word", "page_pair", "restored"), "base", "ratio"))
+        kept_rows = rows.join(letters.select("source", "page_pair"), ["source", "page_pair"], "left_anti").select("part", "source", "word", "n", "page_pair", "restored", "base", "ratio")
+        rows = staged(kept_rows.unionByName(redone.join(by_source, ["source", "word"]).withColumn("part", part).select(*kept_rows.columns)))
+    return staged(_posterior(rows, weight))
+
+
+def swaps(scanned: DataFrame) -> DataFrame:
+    """source, word, page_pair, restored, p, w, ratio, evidence: the words of scanned (source, hard, words) that one
+    code page taken for another may explain, by the tables learned for their source. Only counts by bigram leave the
+    executors."""
+    spark = scanned.sparkSession
+    ship(spark)
+    by_source = staged(words_of(scanned).groupBy("source", "word").agg(F.count("*").alias("n")))
+    sums = by_source.groupBy("source").agg(F.sum("n").alias("k"))
+    every = sums.agg(F.sum("k")).first()[0] or 0
+    large = [r["source"] for r in sums.where((F.col("k") > LARGE * every) & (F.col("k") <= LARGEST * every)).collect()]
+    kept = F.when(F.col("source").isin(large), F.col("source")) if large else F.lit(None).cast("string")
+    last = None
+    for _ in range(PASSES):
+        last = _fit(by_source, kept, last)
+    # words that are probably damaged where they stand are no evidence for their sound use
+    damaged = last.groupBy("source", "word").agg(F.sum("p").alias("d"))
+    uses = by_source.join(damaged, ["source", "word"], "left").select("source", F.lower("word").alias("own"), "n", (F.col("n") * (1 - F.coalesce("d", F.lit(0.0)))).alias("sound"))
+    known = staged(uses.groupBy("own").agg(F.sum("n").alias("n"), F.sum("sound").alias("sound")))
+    mine = uses.groupBy("source", "own").agg(F.sum("sound").alias("mine"))
+    rows = last.withColumn("own", F.lower("word"))
+    rows = rows.join(known.select(F.col("own").alias("known"), F.col("n").alias("known_n")), F.lower("restored") == F.col("known"), "left").join(known.select("own", F.col("sound").alias("own_n")), "own", "left").join(mine, ["source", "own"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    usage = F.log((zero("known_n") + 0.5) / (F.greatest(F.lit(0.0), zero("own_n") - zero("mine")) + 0.5))
+    scored = rows.withColumn("usage", usage).withColumn("evidence", F.least(F.lit(MOST_EACH), F.col("ratio")) + F.greatest(F.lit(-MOST_EACH), F.least(F.lit(MOST_EACH), F.col("usage"))))
+    return staged(scored.where(F.col("ratio") >= LEAST_RATIO).select("source", "word", "page_pair", "restored", "p", "w", "ratio", "evidence"))
 
 
 def _posterior(rows: DataFrame, weight: DataFrame) -> DataFrame:
@@ -478,9 +546,8 @@ def records(spark: SparkSession, sf_dir: str, texts: bool = True) -> DataFrame:
     files = spark.read.parquet(f"{sf_dir}/files.parquet").select(F.lit("file").alias("rec_kind"), F.col("file_id").alias("rec_id"), F.coalesce("project", F.lit("")).alias("source"), F.col("bytes").alias("text"))
     files = with_struct(files, "text", "s", SCAN, lambda b: hard(read_bytes(b))).select("rec_kind", "rec_id", "source", "s.*")
     commits = spark.read.parquet(f"{sf_dir}/commits.parquet").select(F.lit("commit").alias("rec_kind"), F.col("commit_id").alias("rec_id"), F.coalesce("project", F.lit("")).alias("source"), F.col("source").alias("text"))
-    checkpoint_dir(spark)
     both = files.unionByName(scan(commits)).where("hard is not null or words is not null")
-    return (both if texts else both.drop("undone")).checkpoint()
+    return staged(both if texts else both.drop("undone"))
 
 
 WORD_MAP = T.ArrayType(T.StructType([T.StructField(k, T.StringType()) for k in ("word", "restored")]))
@@ -495,11 +562,13 @@ def rewrite(text: str | None, words: list[dict]) -> str | None:
 
 
 def learned(scanned: DataFrame) -> DataFrame:
-    """rec_kind, rec_id, damage, words: the records with words that one code page taken for another explains, and their
-    restored forms; the damage is the pair of pages that explains most of them."""
+    """rec_kind, rec_id, damage, words: the records whose words a table of their source explains, all of them together by
+    odds of LEAST_ODDS, and the words' restored forms; the damage is the pair of pages of the table that explains most."""
     uses = scanned.where("hard is null").select("rec_kind", "rec_id", "source", F.explode("words").alias("word")).distinct()
-    found = uses.join(restore(swaps(scanned)), ["source", "word"]).distinct()
-    return found.groupBy("rec_kind", "rec_id").agg(F.mode("page_pair", True).alias("damage"), F.sort_array(F.collect_set(F.struct("word", "restored"))).alias("words"))
+    found = uses.join(swaps(scanned), ["source", "word"])
+    by_pair = found.groupBy("rec_kind", "rec_id", "page_pair").agg((F.sum("evidence") + F.log(F.max("w") / SOUND)).alias("odds"), F.sort_array(F.collect_set(F.struct("word", "restored"))).alias("words"))
+    best = by_pair.groupBy("rec_kind", "rec_id").agg(F.max(F.struct("odds", "page_pair", "words")).alias("b")).select("rec_kind", "rec_id", "b.*")
+    return best.where(F.col("odds") >= LEAST_ODDS).select("rec_kind", "rec_id", F.col("page_pair").alias("damage"), "words")
 
 
 def p6_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -507,7 +576,7 @@ def p6_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
     record's whole text as it was before; null where characters are lost for good."""
     scanned = records(spark, sf_dir)
     hard_ones = scanned.where("hard is not null").select("rec_kind", "rec_id", F.col("hard").alias("damage"), F.lit(None).cast(WORD_MAP).alias("words"), F.col("undone").alias("restored"))
-    swapped = learned(scanned).checkpoint()
+    swapped = staged(learned(scanned))
     out = hard_ones
     for kind, table, key, column in (("file", "files", "file_id", "bytes"), ("commit", "commits", "commit_id", "source")):
         texts = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).alias("rec_id"), F.col(column).alias("text"))

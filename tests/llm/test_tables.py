@@ -32,7 +32,7 @@ def test_empty_tables(spark):
     stats = spark.createDataFrame([], "lang string, a double, b double")
     assert repeats.mcd(stats, ["lang"], ["a", "b"]).count() == 0
     words = spark.createDataFrame([], "rec_kind string, rec_id long, source string, hard string, words array<string>")
-    assert garbled.restore(garbled.swaps(words)).count() == 0
+    assert garbled.learned(words).count() == 0
 
 
 @pytest.mark.parametrize(
@@ -121,8 +121,8 @@ def test_swapped_pages_are_learned(spark):
     wrong = [w.encode("koi8_r").decode("cp1251") for w in words]
     rows = sound + [("commit", 99, "s", None, wrong[:3])]
     df = spark.createDataFrame(rows, "rec_kind string, rec_id long, source string, hard string, words array<string>")
-    got = {r["word"]: r["restored"] for r in garbled.restore(garbled.swaps(df)).collect()}
-    assert got == dict(zip(wrong[:3], words[:3]))
+    (got,) = garbled.learned(df).collect()
+    assert got["rec_id"] == 99 and {r["word"]: r["restored"] for r in got["words"]} == dict(zip(wrong[:3], words[:3]))
 
 
 def test_a_source_damaged_throughout_is_found(spark):
@@ -131,8 +131,21 @@ def test_a_source_damaged_throughout_is_found(spark):
     others = ["короткий", "список", "отчёты", "проверки", "файлов", "каталога"]
     rows = [("commit", i, f"s{i % 9}", None, words[:6] if i < 20 else others) for i in range(60)] + [("commit", 100 + i, "bad", None, wrong) for i in range(30)]
     df = spark.createDataFrame(rows, "rec_kind string, rec_id long, source string, hard string, words array<string>")
-    got = garbled.restore(garbled.swaps(df)).collect()
-    assert {(r["source"], r["word"], r["restored"]) for r in got} == {("bad", a, b) for a, b in zip(wrong, words)}
+    got = garbled.learned(df).collect()
+    assert {r["rec_id"] for r in got} == set(range(100, 130))
+    assert {(x["word"], x["restored"]) for r in got for x in r["words"]} == set(zip(wrong, words))
+
+
+def test_letters_beyond_the_code_pages_are_learned(spark):
+    words = ["проверяет", "каталоги", "сообщений", "прежний", "итоговый", "значения", "передача", "параметры", "программа", "просмотр", "порядок"]
+    sound = [("commit", i, "s", None, words) for i in range(80)]
+    # a page that differs from the published one in a letter: its users wrote another sign for it
+    wrong = [w.replace("р", "э").encode("koi8_r").decode("cp1251") for w in words]
+    df = spark.createDataFrame(sound + [("commit", 500 + i, "bad", None, wrong) for i in range(30)], "rec_kind string, rec_id long, source string, hard string, words array<string>")
+    got = garbled.learned(df).collect()
+    assert {r["rec_id"] for r in got} == set(range(500, 530))
+    restored = {x["word"]: x["restored"] for x in got[0]["words"]}
+    assert restored[wrong[0]] == words[0] and restored[wrong[10]] == words[10]
     assert garbled.hard("é" * 50)["words"] == ["é" * 50]
 
 
