@@ -1,10 +1,10 @@
 """Mixing sources to target weights (problem 8).
 
-Entropy balancing: among all document weights that give each source its share of the tokens and keep its mean length,
-those nearest to one copy each, in relative entropy, are exponentially tilted: exp(a + b * length) with a and b by
-source. With both constraints the solution is
-b = 0, a = log(share's tokens / available tokens): every document of a source has the same rate. Newton iterations solve the convex dual; each takes three sums by source over all documents and a step in the
-two unknowns of each source. The total is the largest that no source's cap forbids, unless a smaller one is given.
+Entropy balancing: among all document weights between nothing and the source's cap that give each source its tokens,
+those nearest to one copy each, in relative entropy, are exponentially tilted: min(cap, exp(b * length)), with b by
+source. A source that has to give less than it holds therefore favours its short documents, one that has to give more
+its long ones. Newton iterations solve the convex dual; each takes two sums by source over all documents and a step in
+the one unknown of each source, inside the bracket that the signs of former steps leave. The total is the largest that no source's cap forbids, unless a smaller one is given.
 Weights become copies by rounding that carries the tokens still due from document to document, in buckets of bounded
 size.
 
@@ -16,18 +16,20 @@ caps under 1, leave their source out. Equal documents may get copies that differ
 
 from __future__ import annotations
 
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, ship
+from ..session import ship, staged
 from .tokens import with_tokens
 
 MAX_SOURCES = 10_000
 BUCKET_ROWS = 100_000
-ROUNDS, STEP, EXACT = 40, 1.5, 1e-9
+#: Rounds at most, how near the tokens due are enough, and the steepest tilt for a document of mean length.
+ROUNDS, EXACT, LARGEST = 60, 1e-7, 1e6
 
 
 def targets(spark: SparkSession, sf_dir: str) -> dict[str, tuple[float, int]]:
@@ -56,29 +58,29 @@ def plan(have: dict[str, tuple[int, float]], want: dict[str, tuple[float, int]],
     return {s: total * w / every for s, (w, _) in use.items()}
 
 
-def balance(sized: DataFrame, have: dict[str, tuple[int, float]], goal: dict[str, float], rounds: int = ROUNDS) -> dict[str, tuple[float, float]]:
-    """a and b of each source. Lengths count in means of their source, so both unknowns have the same scale."""
+def balance(sized: DataFrame, have: dict[str, tuple[int, float]], goal: dict[str, float], cap: dict[str, int], rounds: int = ROUNDS) -> dict[str, float]:
+    """b of each source, for lengths in tokens. Inside, lengths count in means of their source."""
     spark = sized.sparkSession
     mean = {s: have[s][1] / have[s][0] for s in goal}
-    found = {s: np.zeros(2) for s in goal}
+    found = dict.fromkeys(goal, 0.0)
+    low, high = dict.fromkeys(goal, -LARGEST), dict.fromkeys(goal, LARGEST)
     for _ in range(rounds):
-        table = spark.createDataFrame([(s, float(v[0]), float(v[1]), mean[s]) for s, v in found.items()], "source string, a double, b double, m double")
+        table = spark.createDataFrame([(s, b, mean[s], math.log(cap[s])) for s, b in found.items()], "source string, b double, m double, most double")
         x = F.col("n_tokens") / F.col("m")
-        w = F.exp(F.least(F.lit(60.0), F.col("a") + F.col("b") * x))
-        sums = sized.join(F.broadcast(table), "source").groupBy("source").agg(F.sum(w).alias("w0"), F.sum(w * x).alias("w1"), F.sum(w * x * x).alias("w2")).collect()
+        w = F.exp(F.least(F.col("most"), F.col("b") * x))
+        sums = sized.join(F.broadcast(table), "source").groupBy("source").agg(F.sum(w * x).alias("w1"), F.sum(F.when(F.col("b") * x < F.col("most"), w * x * x).otherwise(0.0)).alias("w2")).collect()
         worst = 0.0
         for r in sums:
             s = r["source"]
-            rate = goal[s] / have[s][1]
-            wanted = np.array([rate * have[s][0], rate * have[s][0]])
-            off = np.array([r["w0"], r["w1"]]) - wanted
-            worst = max(worst, float(np.abs(off / wanted).max()))
-            hessian = np.array([[r["w0"], r["w1"]], [r["w1"], r["w2"]]])
-            step = np.linalg.solve(hessian + np.eye(2) * 1e-9 * r["w0"], off)
-            found[s] = found[s] - step * min(1.0, STEP / max(1e-300, float(np.abs(step).max())))
+            wanted = goal[s] / mean[s]
+            off = r["w1"] - wanted
+            worst = max(worst, abs(off) / wanted)
+            low[s], high[s] = (low[s], found[s]) if off > 0 else (found[s], high[s])
+            step = found[s] - off / r["w2"] if r["w2"] > 0 else math.inf
+            found[s] = step if low[s] < step < high[s] else (low[s] + high[s]) / 2
         if worst < EXACT:
             break
-    return {s: (float(v[0]), float(v[1]) / mean[s]) for s, v in found.items()}
+    return {s: b / mean[s] for s, b in found.items()}
 
 
 def mix(sized: DataFrame, want: dict[str, tuple[float, int]], total: float | None = None) -> DataFrame:
@@ -87,11 +89,11 @@ def mix(sized: DataFrame, want: dict[str, tuple[float, int]], total: float | Non
     usable = sized.where((F.col("n_tokens") > 0) & F.col("source").isNotNull())
     have = totals(usable)
     goal = plan(have, want, total)
-    tilt = balance(usable, have, goal) if goal else {}
-    table = spark.createDataFrame([(s, a, b, want[s][1], max(1, -(-have[s][0] // BUCKET_ROWS))) for s, (a, b) in tilt.items()], "source string, a double, b double, cap int, buckets long")
+    tilt = balance(usable, have, goal, {s: want[s][1] for s in goal}) if goal else {}
+    table = spark.createDataFrame([(s, b, want[s][1], max(1, -(-have[s][0] // BUCKET_ROWS))) for s, b in tilt.items()], "source string, b double, cap int, buckets long")
     rows = usable.join(F.broadcast(table), "source")
     h = F.xxhash64("doc_id", F.lit(8))
-    rows = rows.withColumn("rate", F.least(F.col("cap").cast("double"), F.exp(F.col("a") + F.col("b") * F.col("n_tokens")))).withColumn("bucket", F.pmod(h, F.col("buckets"))).withColumn("h", h)
+    rows = rows.withColumn("rate", F.least(F.col("cap").cast("double"), F.exp(F.least(F.lit(700.0), F.col("b") * F.col("n_tokens"))))).withColumn("bucket", F.pmod(h, F.col("buckets"))).withColumn("h", h)
     ship(spark)
     return rows.select("doc_id", "source", "n_tokens", "rate", "bucket", "h").groupBy("source", "bucket").applyInPandas(_copies, "doc_id long, source string, n_tokens long, rate double, copies long")
 
@@ -113,9 +115,8 @@ def _copies(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checkpoint_dir(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return with_tokens(docs).select("doc_id", "source", "n_tokens").checkpoint()
+    return staged(with_tokens(docs).select("doc_id", "source", "n_tokens"))
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

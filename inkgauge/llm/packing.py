@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, ship
+from ..session import ship, staged
 from .tokens import with_tokens
 
 SHARD_ROWS = 50_000
@@ -95,8 +95,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> dict[str, int]:
 
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """profile, container_id, doc_id, piece, start_token, n_tokens: every document's place for each capacity."""
-    checkpoint_dir(spark)
-    sizes = with_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "n_tokens").checkpoint()
+    sizes = staged(with_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "n_tokens"))
     return pack(sizes, profiles(spark, sf_dir))
 
 

@@ -184,6 +184,11 @@ def test_mix_meets_the_shares(spark):
         assert sum(x["copies"] * x["n_tokens"] for x in got if x["source"] == s) / total == pytest.approx(share, abs=0.004)
         assert max(x["copies"] for x in got if x["source"] == s) <= want[s][1]
     assert not {x["doc_id"] for x in got} & {9900, 9901, 9902}
+    for s in "ab":  # tilted by length, and by length only
+        rates = dict(sorted((x["n_tokens"], x["rate"]) for x in got if x["source"] == s))
+        assert len({round(v, 9) for v in rates.values()}) > 100
+        order = list(rates.values())
+        assert order == sorted(order) or order == sorted(order, reverse=True)
 
 
 def test_languages_of_a_table(spark):
