@@ -323,10 +323,12 @@ def links(groups: DataFrame, sets: list[str]) -> DataFrame:
     each = groups.select("id", F.explode("bands").alias("band"))
     several = each.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("head")).where("n > 1")
     bucket = staged(each.join(several, "band").select("band", "id", "head"))
+    # the sets of what stands in a bucket with others, moved once
+    side = staged(groups.select("id", *sets).join(bucket.select("id").distinct(), "id", "left_semi"))
     pairs = bucket.where("id <> head").select("band", F.col("id").alias("a"), F.col("head").alias("b"))
     left, heads_each, found = bucket.where("id <> head").select("band", "id"), 1, empty
     while True:
-        good = staged(_verified(pairs.select("a", "b").distinct(), groups, sets))
+        good = staged(_verified(pairs.select("a", "b").distinct(), side, sets))
         found = good if heads_each == 1 else staged(found.unionByName(good).distinct())
         linked = pairs.join(good, ["a", "b"]).select("band", F.col("a").alias("id")).union(pairs.join(good, ["a", "b"]).select("band", F.col("b").alias("id")))
         left = left.join(linked.distinct(), ["band", "id"], "left_anti")
@@ -340,13 +342,12 @@ def links(groups: DataFrame, sets: list[str]) -> DataFrame:
         left = ranked.where(F.col("r") > heads_each).select("band", "id")
 
 
-def _verified(pairs: DataFrame, groups: DataFrame, sets: list[str]) -> DataFrame:
-    """The pairs (a, b) whose sets are alike, each of them whole."""
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    side = groups.select("id", *sets).join(ends, "id", "left_semi")
-    one = side.select(F.col("id").alias("a"), *(F.col(c).alias(f"{c}_a") for c in sets))
-    two = side.select(F.col("id").alias("b"), *(F.col(c).alias(f"{c}_b") for c in sets))
-    both = pairs.join(one, "a").join(two, "b")
+def _verified(pairs: DataFrame, side: DataFrame, sets: list[str]) -> DataFrame:
+    """The pairs (a, b) whose sets are alike, each of them whole; sizes alone exclude many."""
+    both = pairs.join(side.select(F.col("id").alias("a"), *(F.col(c).alias(f"{c}_a") for c in sets)), "a").join(side.select(F.col("id").alias("b"), *(F.col(c).alias(f"{c}_b") for c in sets)), "b")
+    for c in sets:
+        x, y = F.size(f"{c}_a"), F.size(f"{c}_b")
+        both = both.where(F.least(x, y) >= LEAST_SIMILARITY * F.greatest(x, y))
     for c in sets:
         both = both.where(alike(F.col(f"{c}_a"), F.col(f"{c}_b")))
     return both.select("a", "b")
