@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import EXPRESSIONS
-from ..functions.text import folded, n_words, phrase_hits, words
+from ..functions.phrases import Phrases
+from ..functions.text import folded, n_words, phrase_hits
+from ..session import ship
 
 
 class Density(NamedTuple):
@@ -49,26 +53,26 @@ def fires(rule: str, hits: Column, forms: Column, n: Column, limits: dict[str, D
     return (hits >= x.least) & (forms >= x.forms) & dense & (n > 0)
 
 
-def _within(listed: tuple[str, ...]):
-    return lambda w: F.when(w.isin(*listed), w)
+HITS = "array<struct<rule_id: string, hits: bigint, forms: bigint>>"
 
 
 def measure(df: DataFrame, key: str, text: str, rules: list[str], lexicons: dict[str, tuple[str, ...]] = EXPRESSIONS) -> DataFrame:
-    """key, rule_id, hits, forms, words, fires: a row for each rule that has a hit. The text is scanned once; rules
-    become an array of the row, so nothing is shuffled. Null text has no row."""
-    cells = []
-    for rule in rules:
-        list_ = lexicons[rule]
-        if LIMITS[rule].quoted:
-            hits = F.array_compact(F.transform(words(F.col(text)), _within(list_)))
-        else:
-            hits = phrase_hits(F.col("_folded"), list_)
-        cells.append(F.struct(F.lit(rule).alias("rule_id"), hits.alias("h")))
-    once = df.select(F.col(key), F.col(text), folded(F.col(text)).alias("_folded"))
-    each = once.select(F.col(key), n_words(F.col(text)).alias("words"), F.explode(F.array(*cells)).alias("x")).where(F.size("x.h") > 0)
-    hits, forms = F.size("x.h").cast("bigint"), F.size(F.array_distinct("x.h")).cast("bigint")
-    fire = F.coalesce(*(F.when(F.col("x.rule_id") == r, fires(r, hits, forms, F.col("words"))) for r in rules))
-    return each.select(key, F.col("x.rule_id").alias("rule_id"), hits.alias("hits"), forms.alias("forms"), "words", fire.alias("fires"))
+    """key, rule_id, hits, forms, words, fires: a row for each rule that has a hit. One automaton finds the expressions of
+    all rules in one pass over each text, in Arrow batches; rules become an array of the row, so nothing is shuffled.
+    Null text has no row."""
+    ship(df.sparkSession)
+    find = Phrases({r: lexicons[r] for r in rules if not LIMITS[r].quoted}, {r: lexicons[r] for r in rules if LIMITS[r].quoted})
+    kind = pa.list_(pa.struct([("rule_id", pa.string()), ("hits", pa.int64()), ("forms", pa.int64())]))
+
+    @F.arrow_udf(HITS)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield pa.array([None if t is None else [{"rule_id": r, "hits": len(h), "forms": len(set(h))} for r, h in find(t).items()] for t in b.to_pylist()], type=kind)
+
+    once = df.select(F.col(key), F.col(text).alias("_t"), run.asNondeterministic()(F.col(text)).alias("_h")).where(F.size("_h") > 0)
+    each = once.select(F.col(key), n_words(F.col("_t")).alias("words"), F.explode("_h").alias("x"))
+    fire = F.coalesce(*(F.when(F.col("x.rule_id") == r, fires(r, F.col("x.hits"), F.col("x.forms"), F.col("words"))) for r in rules))
+    return each.select(key, "x.rule_id", "x.hits", "x.forms", "words", fire.alias("fires"))
 
 
 ONE_HAND, OTHER_HAND = ("on the one hand",), ("on the other hand",)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import EXPRESSIONS, STOP_WORDS
@@ -28,6 +28,44 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+# --- seeded texts
+# The tables hold next to none of the expressions that the prose rules look for, so their queries run over all documents
+# with a passage behind each: one for every rule, by the document's id. Long documents dilute it, which gives near misses.
+
+_LINES = "\n".join(f"setting_{w} = read_value(source, '{w}')" for w in "alpha beta gamma delta epsilon zeta eta theta iota kappa".split())
+PASSAGES = (
+    *(". ".join(EXPRESSIONS[r][i % len(EXPRESSIONS[r])] for i in range(max(x.least, x.forms))).replace("'", "’") + "." for r, x in density.LIMITS.items()),
+    f"On the one hand it is small, on the other hand it is slow. {EXPRESSIONS['VIBE005'][0]}.",
+    "One — two — three — four — five — six.",
+    "The nightly importer copies changed records into central storage before morning reports start. Before morning reports start, the nightly importer copies changed records into central storage.",
+    f"{_LINES}\nnothing here\n{_LINES}",
+    " ".join(f"The reader keeps {w} value until the next run." for w in ("one", "any", "each", "that", "this", "some", "every", "no")),
+    "\n\n".join(" ".join([w] * 24) + "." for w in ("red", "sea", "oak", "ice", "elm")),
+)
+
+
+def passage(key: str, n: int = len(PASSAGES)) -> Column:
+    return F.element_at(F.array(*map(F.lit, PASSAGES)), (F.pmod(F.col(key), F.lit(n)) + 1).cast("int"))
+
+
+def seeded(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, text: every document, with a passage behind it."""
+    return table(spark, d, "documents").select("doc_id", F.concat("text", F.lit("\n\n"), passage("doc_id")).alias("text"))
+
+
+def seeded_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """ctx_id, text: the prose of every context, and the sources, with a passage behind each."""
+    return table(spark, d, "contexts").select("ctx_id", F.concat("prose", F.lit("\n\n"), passage("ctx_id")).alias("prose"), F.concat("source", F.lit("\n\n"), passage("ctx_id")).alias("source"))
+
+
+def _passage_sql(key: str) -> str:
+    return f"CASE {key} % {len(PASSAGES)} " + " ".join(f"WHEN {i} THEN " + "'" + p.replace("'", "''") + "'" for i, p in enumerate(PASSAGES)) + " END"
+
+
+SEEDED_SQL = f"(SELECT doc_id, text || chr(10) || chr(10) || {_passage_sql('doc_id')} AS text FROM documents)"
+CONTEXTS_SQL = f"(SELECT ctx_id, prose || chr(10) || chr(10) || {_passage_sql('ctx_id')} AS prose, source || chr(10) || chr(10) || {_passage_sql('ctx_id')} AS source FROM contexts)"
+
+
 # --- densities
 
 #: In SQL without look-around, every character that is no letter, figure or underline is doubled, so that neighbouring
@@ -54,13 +92,13 @@ def hits_sql(phrases: tuple[str, ...]) -> str:
 def density_sql(rule: str) -> str:
     x = density.LIMITS[rule]
     dense = f" AND hits * {x.words_per_hit} >= words" if x.words_per_hit else ""
-    return f"""WITH h AS (SELECT doc_id, {phrases_sql(rule)} AS h, CAST({WORDS_SQL} AS BIGINT) AS words FROM documents WHERE text IS NOT NULL),
+    return f"""WITH h AS (SELECT doc_id, {phrases_sql(rule)} AS h, CAST({WORDS_SQL} AS BIGINT) AS words FROM {SEEDED_SQL} WHERE text IS NOT NULL),
     n AS (SELECT doc_id, CAST(len(h) AS BIGINT) AS hits, CAST(len(list_distinct(list_transform(h, lambda p: replace(p, '’', '''')))) AS BIGINT) AS forms, words FROM h)
     SELECT doc_id, '{rule}' AS rule_id, hits, forms, words, hits >= {x.least} AND forms >= {x.forms}{dense} AND words > 0 AS fires FROM n WHERE hits > 0"""
 
 
 def _density(rule: str) -> Query:
-    return lambda spark, d: density.measure(table(spark, d, "documents"), "doc_id", "text", [rule])
+    return lambda spark, d: density.measure(seeded(spark, d), "doc_id", "text", [rule])
 
 
 for _rule in density.LIMITS:
@@ -70,16 +108,16 @@ for _rule in density.LIMITS:
 @query("prose_density", " UNION ALL ".join(f"SELECT * FROM ({density_sql(r)})" for r in density.LIMITS))
 def prose_density(spark: SparkSession, d: str) -> DataFrame:
     """All density rules by one scan."""
-    return density.measure(table(spark, d, "documents"), "doc_id", "text", list(density.LIMITS))
+    return density.measure(seeded(spark, d), "doc_id", "text", list(density.LIMITS))
 
 
 @query(
     "balance",
-    f"""WITH n AS (SELECT doc_id, least(len({hits_sql(density.ONE_HAND)}), len({hits_sql(density.OTHER_HAND)})) AS pairs, len({hits_sql(EXPRESSIONS["VIBE005"])}) AS stock FROM documents WHERE text IS NOT NULL)
+    f"""WITH n AS (SELECT doc_id, least(len({hits_sql(density.ONE_HAND)}), len({hits_sql(density.OTHER_HAND)})) AS pairs, len({hits_sql(EXPRESSIONS["VIBE005"])}) AS stock FROM {SEEDED_SQL} WHERE text IS NOT NULL)
     SELECT doc_id, CAST(pairs AS BIGINT) AS pairs, CAST(stock AS BIGINT) AS stock FROM n WHERE pairs + stock >= 2""",
 )
 def balance(spark: SparkSession, d: str) -> DataFrame:
-    return density.balance(table(spark, d, "documents"), "doc_id", "text")
+    return density.balance(seeded(spark, d), "doc_id", "text")
 
 
 # --- segmentation and order
@@ -87,7 +125,7 @@ def balance(spark: SparkSession, d: str) -> DataFrame:
 PARAGRAPHS_SQL = r"""list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '(?m)^[^\p{L}\p{N}\n]*$', chr(10), 'g'), '\n{2,}'), lambda p: regexp_replace(p, '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+\z', '', 'g')), lambda p: regexp_matches(p, '[\p{L}\p{N}]'))"""
 SENTENCES_SQL = r"""list_filter(list_transform(string_split(regexp_replace({0}, '([.!?])([ \t\n\f\r]+|\z)', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+\z', '', 'g')), lambda s: s <> '')"""
 COUNT_SQL = r"""CAST(len(regexp_extract_all({0}, '[\p{{L}}\p{{N}}'']+')) AS BIGINT)"""
-PARAGRAPH_ROWS = f"p AS (SELECT doc_id, unnest({PARAGRAPHS_SQL}) AS text, generate_subscripts({PARAGRAPHS_SQL}, 1) AS p FROM documents WHERE text IS NOT NULL)"
+PARAGRAPH_ROWS = f"p AS (SELECT doc_id, unnest({PARAGRAPHS_SQL}) AS text, generate_subscripts({PARAGRAPHS_SQL}, 1) AS p FROM {SEEDED_SQL} WHERE text IS NOT NULL)"
 SENTENCE_ROWS = f"{PARAGRAPH_ROWS}, s AS (SELECT doc_id, p, unnest({SENTENCES_SQL.format('text')}) AS text, generate_subscripts({SENTENCES_SQL.format('text')}, 1) AS s FROM p)"
 
 
@@ -116,12 +154,12 @@ def _even_sql(rows: str, source: str, order: str, least: int, length: int, toler
 
 @query("rhythm_runs", _even_sql(SENTENCE_ROWS, "s", "p, s", 8, 8, "3"))
 def rhythm_runs(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.rhythm(table(spark, d, "documents"), "doc_id", "text")
+    return sequences.rhythm(seeded(spark, d), "doc_id", "text")
 
 
 @query("paragraph_symmetry", _even_sql(PARAGRAPH_ROWS, "p", "p", 20, 5, "greatest(low // 5, 4)"))
 def paragraph_symmetry(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.symmetry(table(spark, d, "documents"), "doc_id", "text")
+    return sequences.symmetry(seeded(spark, d), "doc_id", "text")
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -135,7 +173,7 @@ _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
     SELECT doc_id, CAST(p - 1 AS BIGINT) AS p, CAST(s - 1 AS BIGINT) AS s, CAST(common AS BIGINT) AS common, CAST(together AS BIGINT) AS together FROM j WHERE common >= 7 AND common * 4 >= together * 3""",
 )
 def restated_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.restated(table(spark, d, "documents"), "doc_id", "text")
+    return sequences.restated(seeded(spark, d), "doc_id", "text")
 
 
 @query(
@@ -146,24 +184,24 @@ def restated_pairs(spark: SparkSession, d: str) -> DataFrame:
     SELECT doc_id, opening, n, sentences FROM r WHERE r = 1 AND n >= 4 AND sentences >= 6 AND n * 2 >= sentences""",
 )
 def openings_top(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.openings(table(spark, d, "documents"), "doc_id", "text")
+    return sequences.openings(seeded(spark, d), "doc_id", "text")
 
 
-@query("em_dashes", f"SELECT ctx_id, dashes, words FROM (SELECT ctx_id, CAST(length(text) - length(replace(text, '—', '')) AS BIGINT) AS dashes, CAST({WORDS_SQL} AS BIGINT) AS words FROM (SELECT ctx_id, prose AS text FROM contexts)) WHERE dashes >= 5 AND dashes * 100 >= words AND words > 0")
+@query("em_dashes", f"SELECT ctx_id, dashes, words FROM (SELECT ctx_id, CAST(length(text) - length(replace(text, '—', '')) AS BIGINT) AS dashes, CAST({WORDS_SQL} AS BIGINT) AS words FROM (SELECT ctx_id, prose AS text FROM {CONTEXTS_SQL})) WHERE dashes >= 5 AND dashes * 100 >= words AND words > 0")
 def em_dashes(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.dashes(table(spark, d, "contexts"), "ctx_id", "prose")
+    return sequences.dashes(seeded_contexts(spark, d), "ctx_id", "prose")
 
 
 @query(
     "duplicate_blocks",
-    r"""WITH l AS (SELECT ctx_id, unnest(string_split(source, chr(10))) AS raw, generate_subscripts(string_split(source, chr(10)), 1) AS line FROM contexts WHERE source IS NOT NULL),
+    rf"""WITH l AS (SELECT ctx_id, unnest(string_split(source, chr(10))) AS raw, generate_subscripts(string_split(source, chr(10)), 1) AS line FROM {CONTEXTS_SQL} WHERE source IS NOT NULL),
     t AS (SELECT ctx_id, line, trim(regexp_replace(raw, '[ \t\n\x0b\f\r]+', ' ', 'g'), ' ') AS t FROM l),
     w AS (SELECT ctx_id, line, array_to_string(list(t) OVER b, chr(10)) AS body, count(*) FILTER (t <> '') OVER b AS f FROM t WINDOW b AS (PARTITION BY ctx_id ORDER BY line ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
     m AS (SELECT ctx_id, line, min(line) OVER (PARTITION BY ctx_id, body) AS first_line FROM w WHERE f = 10 AND strlen(body) >= 180)
     SELECT ctx_id, CAST(first_line AS BIGINT) AS first_line, CAST(min(line) AS BIGINT) AS repeat_line FROM m WHERE line >= first_line + 10 GROUP BY ctx_id, first_line""",
 )
 def duplicate_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.duplicate_lines(table(spark, d, "contexts"), "ctx_id", "source")
+    return sequences.duplicate_lines(seeded_contexts(spark, d), "ctx_id", "source")
 
 
 # --- files and code
