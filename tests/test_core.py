@@ -98,6 +98,29 @@ CODE = [
 ]
 
 
+CODE += [
+    ("DEAD001", "a.py", "python", "try:\n    run()\nexcept (A, B) as e: pass\n", "try:\n    run()\n    raise E\nexcept A:\n    pass\n"),
+    ("DEAD001", "a.java", "java", "try { a(); } catch (E e) { }\n", "try { a(); } catch (E ignored) { }\n"),
+    ("DEAD001", "a.py", "python", "try:\n    run()\nexcept A:\n    pass\n", "try:\n    run()\nexcept A:\n    pass  # the caller has closed it already\n"),
+    ("DEAD002", "a.py", "python", "# todo handle the case\nx = 1\n", '# The "TODO" label\nx = 1\n'),
+    ("DEAD002", "a.py", "python", "# FIXME: later\nx = 1\n", "# TODO see https://x.example/1\nx = 1\n"),
+    ("DEAD002", "a.py", "python", "# XXX wrong\nx = 1\n", "# replace the XXX with a number\nx = 1\n"),
+    ("DEAD003", "a.js", "javascript", 'function a() { throw new Error("not implemented"); }\n', 'function a() { throw new Error("no such row"); }\n'),
+    ("DEAD003", "a.py", "python", "def a(x):\n    raise NotImplementedError\n", "class A:\n    def a(self):\n        raise NotImplementedError\n"),
+    ("DEAD003", "a.py", "python", "def a(x):\n    b()\n    raise NotImplementedError()\n", "def a(x):\n    if x:\n        raise NotImplementedError()\n"),
+    ("DEAD004", "a.swift", "swift", "do { try a() } catch { return nil }\n", "do { try a() } catch { return b }\n"),
+    ("DEAD004", "a.py", "python", "try:\n    a()\nexcept E:\n    return False\n", "try:\n    a()\n    return True\nexcept E:\n    return False\n"),
+    ("DEAD005", "a.py", "python", "def a(x):\n    pass\n", "@b\ndef a(x):\n    pass\n"),
+    ("DEAD008", "a.py", "python", "class A:\n    def load(self, a, b=1):\n        return store.load(a, b)\n", "@cached\ndef load(a, b):\n    return store.load(a, b)\n"),
+    ("DEAD008", "a.py", "python", "def load(a):\n    return store.load(a)\n", "def load(a):\n    return store.load(a)\n    done()\n"),
+    ("DEAD008", "a.ts", "typescript", "function load(a: A, b) { return store.load(a, b); }\n", "function load(a) { return this.store.load(a); }\n"),
+    ("DEAD009", "a.ts", "typescript", "if (a > (b)) { return false; } else { return true; }\n", "if (a) { return true; } else { return true; }\n"),
+    ("DEAD010", "a.test.ts", "typescript", "expect(true).toBe(true)\n", "expect(a).toBe(true)\n"),
+    ("DEAD014", "a.py", "python", "try:\n    a()\nexcept A:\n    raise\n", "try:\n    a()\nexcept A:\n    raise\nexcept B:\n    b()\n"),
+    ("DEAD015", "a.py", "python", "try:\n    a()\nexcept A as e:\n    print(e)\n", "try:\n    a()\nexcept A as e:\n    print(e)\n    b()\n"),
+]
+
+
 @pytest.mark.parametrize("rule, path, language, bad, good", CODE)
 def test_code_rules(rule, path, language, bad, good):
     found = lambda s: {r for r, _ in code_rules.code_findings(path, s, "code", language)}
