@@ -38,10 +38,16 @@ class Phrases:
         return out
 
     def __call__(self, text: str) -> dict[str, list[str]]:
+        return {r: [p for _, p in found] for r, found in self.spans(text).items()}
+
+    def spans(self, text: str) -> dict[str, list[tuple[int, str]]]:
+        """The hits of each rule with their places."""
         if self.automata is None:
             self.automata = self.build()
-        out: dict[str, list[str]] = {}
-        for automaton, folded, more in ((self.automata[0], QUOTED.sub('"', text).lower().replace("’", "'"), "_"), (self.automata[1], text.lower(), "'")):
+        out: dict[str, list[tuple[int, str]]] = {}
+        low = text.lower()
+        low = low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        for automaton, folded, more in ((self.automata[0], QUOTED.sub(lambda m: '"' * len(m[0]), low).replace("’", "'"), "_"), (self.automata[1], low, "'")):
             if automaton is None:
                 continue
             found, n = [], len(folded)
@@ -55,6 +61,6 @@ class Phrases:
             for start, end, p, rules in sorted(found):
                 for r in rules:
                     if start >= free.get(r, 0):
-                        out.setdefault(r, []).append(p)
+                        out.setdefault(r, []).append((start, p))
                         free[r] = 1 - end
         return out

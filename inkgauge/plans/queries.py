@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicons import EXPRESSIONS, STOP_WORDS
 from ..functions.text import n_words, paragraphs, sentences
-from ..operators import code_rules, commits, density, files, findings, report, sequences
+from ..operators import code_rules, commits, density, files, findings, report, scan, sequences
 from ..sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -229,6 +229,13 @@ def code_findings(spark: SparkSession, d: str) -> DataFrame:
     return code_rules.findings(table(spark, d, "contexts").select("ctx_id", "path", "source", "kind", "code_lang"), "ctx_id")
 
 
+@query("scan_files")
+def scan_files(spark: SparkSession, d: str) -> DataFrame:
+    """All findings of all contexts, with passages that every rule has something to find in."""
+    rows = table(spark, d, "contexts").select("ctx_id", "path", F.concat("source", F.lit("\n\n"), passage("ctx_id")).alias("source"), "kind", "code_lang")
+    return scan.scan(rows, "ctx_id", POLICY)
+
+
 _SUBJECT = r"""coalesce(list_filter(list_transform(string_split(source, chr(10)), lambda x: regexp_replace(x, '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+\z', '', 'g')), lambda x: x <> '' AND NOT starts_with(x, '#'))[1], '')"""
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkgauge.functions.lexicons import EXPRESSIONS
 from inkgauge.functions.text import folded, paragraphs, phrase_hits, sentences
 from inkgauge.functions.views import views
-from inkgauge.operators import code_rules, commits, density, files, findings, report
+from inkgauge.operators import code_rules, commits, density, files, findings, report, scan
 from inkgauge.plans.queries import QUERIES, SQL
 from inkgauge.sources.tables import glob_pattern, hunks, history, path_matches
 
@@ -128,6 +128,37 @@ def test_code_rules(rule, path, language, bad, good):
     assert sorted(code_rules.code_findings(path, bad.replace("\n", "\r\n"), "code", language)) == sorted(code_rules.code_findings(path, bad, "code", language))
 
 
+PROSE = [
+    ("VIBE001", "Ultimately, it works. That said, moreover, it is fine. In essence, more broadly, it is done.", "Ultimately it works in the end."),
+    ("VIBE002", "Absolutely! Great question, here it is. Certainly.", "Absolutely the best way."),
+    ("VIBE016", "Some text first, long enough to be half. " * 4 + ". ".join(EXPRESSIONS["VIBE016"][:3]) + ".", EXPRESSIONS["VIBE016"][0]),
+    ("VIBE021", "It is not only fast but also small. Everything from logs to tables is read.", "It is both fast and small."),
+    ("VIBE029", "It grew, highlighting the need, thereby underscoring the cost, and ended, fostering trust.", "It grew, highlighting the need."),
+    ("VIBE032", f"Text.\n\n{EXPRESSIONS['VIBE032'][0]} of tools, it is used.", f"Text with {EXPRESSIONS['VIBE032'][0]} inside."),
+    ("VIBE033", f"{EXPRESSIONS['VIBE033'][0]} it works. {EXPRESSIONS['VIBE033'][1]} it does.", f"{EXPRESSIONS['VIBE033'][0]} it works [1]. {EXPRESSIONS['VIBE033'][1]} it does (Lee 2020)."),
+    ("VIBE035", "# 🚀 A\n- 🎉 b\n- 🔥 c\n- 💡 d\n", "# ✅ A\n- ✅ b\n- ❌ c\n- ⚠ d\n"),
+    ("VIBE009", " ".join(f"The reader keeps value {w}." for w in "one two six ten red sea".split()), "The reader keeps it. A row is lost."),
+]
+
+
+@pytest.mark.parametrize("rule, bad, good", PROSE)
+def test_prose_rules(rule, bad, good):
+    found = lambda s: {x["rule_id"] for x in scan.scan_file("docs/a.md", s, "docs", None)}
+    assert rule in found(bad) and rule not in found(good)
+    assert scan.scan_file("docs/a.md", bad.replace("\n", "\r\n"), "docs", None) == scan.scan_file("docs/a.md", bad, "docs", None)
+
+
+def test_scan(spark):
+    bad = "é = 1\ntry:\n    run()\nexcept ValueError:\n    pass\n"
+    rows = [(1, "b.py", bad, "code", "python"), (2, "b.py", bad.replace("except", "# inkgauge: ignore DEAD001 -- known\nexcept"), "code", "python"), (3, "a.md", PROSE[0][1], "docs", None), (4, "c.py", None, "code", "python"), (5, "d.md", "", None, None)]
+    df = spark.createDataFrame(rows, "id long, path string, source string, kind string, code_lang string")
+    got = {r["id"]: r for r in scan.scan(df, "id", {"VIBE001": "error"}, ("VIBE002",)).collect()}
+    assert set(got) == {1, 3}
+    assert (got[1]["rule_id"], got[1]["line_no"], got[1]["col_no"], got[1]["end_col_no"], got[1]["evidence"], got[1]["severity"]) == ("DEAD001", 4, 1, 19, "except ValueError:", "error")
+    assert got[3]["severity"] == "error" and got[3]["observation"].startswith("5 transitions") and got[3]["module_name"] == "VIBE"
+    assert scan.summary(scan.scan(df, "id"), df).first().asDict() == {"scanned_files": 5, "findings": 2, "errors": 1, "warnings": 1, "infos": 0}
+
+
 def test_documents():
     found = dict((r, n) for r, n in code_rules.code_findings("a.md", "# Title\n\nIt contains 32 rules.\n\n## Empty\n\n## Next\n\nText.\n", "docs", None))
     assert found == {"DEAD013": 3, "DEAD012": 5}
