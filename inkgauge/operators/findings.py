@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,11 +21,13 @@ def severity_rank(c: Column) -> Column:
     return F.coalesce(*(F.when(severity(c) == s, F.lit(i)) for i, s in enumerate(SEVERITIES)))
 
 
-def latest(findings: DataFrame) -> DataFrame:
-    """Each finding once, as delivered last. The newest row is taken by aggregation, without sorting groups."""
-    columns = [c for c in findings.columns if c != "finding_id"]
-    order = F.struct("ingested_at", *(c for c in columns if c != "ingested_at"))
-    return findings.groupBy("finding_id").agg(F.max(order).alias("r")).select("finding_id", *(F.col(f"r.{c}").alias(c) for c in columns))
+def latest(findings: DataFrame, *columns: str) -> DataFrame:
+    """Each finding once, as delivered last; among rows that arrived together the greatest counts. Only the columns asked
+    for (all, if none are) are read, moved and compared."""
+    columns = [c for c in columns or findings.columns if c not in ("finding_id", "ingested_at")]
+    order = F.struct("ingested_at", *columns)
+    kept = [c for c in findings.columns if c in (*columns, "ingested_at")]
+    return findings.groupBy("finding_id").agg(F.max(order).alias("r")).select("finding_id", *(F.col(f"r.{c}").alias(c) for c in kept))
 
 
 def overridden(findings: DataFrame, overrides: dict[str, str]) -> DataFrame:
@@ -70,22 +73,45 @@ def facets(findings: DataFrame) -> DataFrame:
     return sets.select(facet.alias("facet"), value.alias("value"), "n")
 
 
-def occurrences(findings: DataFrame) -> DataFrame:
-    """finding_id, occurrence: the number of a finding among those of its rule, path and evidence, by place."""
+def with_occurrences(findings: DataFrame) -> DataFrame:
+    """findings with ``occurrence``: the number of each among those of its rule, path and evidence, by place."""
     w = Window.partitionBy("rule_id", "path", F.trim(F.coalesce("evidence", F.lit("")))).orderBy("line_no", "col_no", "finding_id")
-    return findings.select("finding_id", F.row_number().over(w).cast("bigint").alias("occurrence"))
+    return findings.withColumn("occurrence", F.row_number().over(w).cast("bigint"))
 
 
 def fnv1a_128(values) -> list[str | None]:
-    """The 128-bit FNV-1a hash of each string, as 32 hexadecimal figures."""
-    prime, start, mask = 0x0000000001000000000000000000013B, 0x6C62272E07BB014262B821756295C58D, (1 << 128) - 1
-    out = []
-    for v in values:
-        h = start
-        for b in (v or "").encode():
-            h = (h ^ b) * prime & mask
-        out.append(None if v is None else f"{h:032x}")
-    return out
+    """The 128-bit FNV-1a hash of each string, as 32 hexadecimal figures. All strings of a batch advance byte by byte
+    together, in four limbs of 32 bits."""
+    raw = [(v or "").encode() for v in values]
+    if not raw:
+        return []
+    size = np.array([len(r) for r in raw])
+    order = np.argsort(-size, kind="stable")
+    h = np.tile(np.array([0x6295C58D, 0x62B82175, 0x07BB0142, 0x6C62272E], np.uint64), (len(raw), 1))
+    low32 = np.uint64(0xFFFFFFFF)
+    lengths = size[order]
+    width = 256
+    for at in range(0, int(lengths[0]), width):  # blocks of bytes, so that one long string doesn't pad all others
+        rows = int(np.searchsorted(-lengths, -at, side="left"))
+        block = np.zeros((rows, width), np.uint8)
+        for k in range(rows):
+            part = raw[order[k]][at : at + width]
+            block[k, : len(part)] = np.frombuffer(part, np.uint8)
+        for j in range(min(width, int(lengths[0]) - at)):
+            n = int(np.searchsorted(-lengths, -(at + j), side="left"))
+            x = h[:n]
+            a = x[:, 0] ^ block[:n, j]
+            b, c, d = x[:, 1], x[:, 2], x[:, 3]
+            # times 2**88 + 0x13b: the second product, and the first shifted by two limbs and 24 bits
+            p0 = a * np.uint64(0x13B)
+            p1 = b * np.uint64(0x13B) + (p0 >> np.uint64(32))
+            p2 = c * np.uint64(0x13B) + (p1 >> np.uint64(32)) + ((a << np.uint64(24)) & low32)
+            p3 = d * np.uint64(0x13B) + (p2 >> np.uint64(32)) + (a >> np.uint64(8)) + ((b << np.uint64(24)) & low32)
+            h[:n] = np.stack([p0 & low32, p1 & low32, p2 & low32, p3 & low32], axis=1)
+    out: list[str | None] = [None] * len(raw)
+    for k, (a, b, c, d) in zip(order.tolist(), h.tolist()):
+        out[k] = f"{d:08x}{c:08x}{b:08x}{a:08x}"
+    return [None if v is None else o for v, o in zip(values, out)]
 
 
 def digests(findings: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .findings import fnv1a_128, occurrences, severity
+from .findings import fnv1a_128, severity, with_occurrences
 
 
 def text_lines(findings: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def code_quality(findings: DataFrame) -> DataFrame:
     def hashed(values: pd.Series) -> pd.Series:
         return pd.Series(fnv1a_128(values))
 
-    return findings.join(occurrences(findings), "finding_id").select("finding_id", level.alias("severity"), hashed(text).alias("fingerprint"))
+    return with_occurrences(findings).select("finding_id", level.alias("severity"), hashed(text).alias("fingerprint"))
 
 
 def summary(findings: DataFrame) -> DataFrame:

@@ -257,28 +257,28 @@ _SEVERITY = "CASE WHEN lower(trim(severity)) = 'warn' THEN 'warning' WHEN lower(
 _LATEST = "f AS (SELECT DISTINCT * FROM findings QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY ingested_at DESC NULLS LAST, ctx_id DESC NULLS LAST, path DESC) = 1)"
 
 
-def delivered(spark: SparkSession, d: str) -> DataFrame:
-    return findings.latest(table(spark, d, "findings"))
+def delivered(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return findings.latest(table(spark, d, "findings"), *columns)
 
 
 @query("latest_findings", f"WITH {_LATEST} SELECT finding_id, rule_id, path, line_no, CAST(epoch_us(ingested_at) AS BIGINT) AS at FROM f")
 def latest_findings(spark: SparkSession, d: str) -> DataFrame:
-    return delivered(spark, d).select("finding_id", "rule_id", "path", "line_no", F.unix_micros("ingested_at").alias("at"))
+    return delivered(spark, d, "rule_id", "path", "line_no").select("finding_id", "rule_id", "path", "line_no", F.unix_micros("ingested_at").alias("at"))
 
 
 @query("rule_counts", f"WITH {_LATEST} SELECT rule_id, count(*) AS n FROM f GROUP BY rule_id")
 def rule_counts(spark: SparkSession, d: str) -> DataFrame:
-    return findings.rule_counts(delivered(spark, d))
+    return findings.rule_counts(delivered(spark, d, "rule_id"))
 
 
 @query("facet_counts", f"WITH {_LATEST}, g AS (SELECT {_SEVERITY} AS severity, module_name AS module, rule_id AS rule, path FROM f) SELECT 'severity' AS facet, severity AS value, count(*) AS n FROM g GROUP BY severity UNION ALL SELECT 'module', module, count(*) FROM g GROUP BY module UNION ALL SELECT 'rule', rule, count(*) FROM g GROUP BY rule UNION ALL SELECT 'path', path, count(*) FROM g GROUP BY path")
 def facet_counts(spark: SparkSession, d: str) -> DataFrame:
-    return findings.facets(delivered(spark, d))
+    return findings.facets(delivered(spark, d, "severity", "module_name", "rule_id", "path"))
 
 
 @query("occurrence_rank", f"WITH {_LATEST} SELECT finding_id, row_number() OVER (PARTITION BY rule_id, path, trim(coalesce(evidence, '')) ORDER BY line_no, col_no, finding_id) AS occurrence FROM f")
 def occurrence_rank(spark: SparkSession, d: str) -> DataFrame:
-    return findings.occurrences(delivered(spark, d))
+    return findings.with_occurrences(delivered(spark, d, "rule_id", "path", "evidence", "line_no", "col_no")).select("finding_id", "occurrence")
 
 
 POLICY = {"VIBE031": "error", "DEAD002": "info"}
@@ -286,7 +286,7 @@ POLICY = {"VIBE031": "error", "DEAD002": "info"}
 
 @query("severity_policy", f"WITH {_LATEST} SELECT CASE rule_id WHEN 'VIBE031' THEN 'error' WHEN 'DEAD002' THEN 'info' ELSE {_SEVERITY} END AS severity, confidence, count(*) AS n FROM f GROUP BY ALL")
 def severity_policy(spark: SparkSession, d: str) -> DataFrame:
-    rows = findings.overridden(delivered(spark, d), POLICY).withColumn("severity", findings.severity(F.col("severity")))
+    rows = findings.overridden(delivered(spark, d, "rule_id", "severity", "confidence"), POLICY).withColumn("severity", findings.severity(F.col("severity")))
     return rows.groupBy("severity", "confidence").agg(F.count("*").alias("n"))
 
 
@@ -294,36 +294,36 @@ def severity_policy(spark: SparkSession, d: str) -> DataFrame:
 def suppressed_findings(spark: SparkSession, d: str) -> DataFrame:
     """Findings left by directives that stand in every context's file on a line that follows from its id."""
     rows = table(spark, d, "contexts").select("path", (1 + F.col("ctx_id") % 40).cast("int").alias("line"), F.explode(F.array(F.lit("DEAD002"), F.lit("VIBE031"))).alias("rule_id")).distinct()
-    return findings.suppressed(delivered(spark, d), rows).select("finding_id", "rule_id", "path", "line_no")
+    return findings.suppressed(delivered(spark, d, "rule_id", "path", "line_no"), rows).select("finding_id", "rule_id", "path", "line_no")
 
 
 @query("changed_line_findings", f"WITH {_LATEST}, r AS (SELECT path, CAST(1 + ctx_id % 50 AS INT) AS a, CAST(21 + ctx_id % 50 AS INT) AS b FROM contexts) SELECT finding_id, rule_id, path, line_no FROM f WHERE EXISTS (SELECT 1 FROM r WHERE r.path = f.path AND f.line_no BETWEEN a AND b)")
 def changed_line_findings(spark: SparkSession, d: str) -> DataFrame:
     """Findings on changed lines; each context's file has a changed range that follows from its id."""
     changed = table(spark, d, "contexts").select("path", (1 + F.col("ctx_id") % 50).cast("int").alias("start_line"), (21 + F.col("ctx_id") % 50).cast("int").alias("end_line"))
-    return findings.on_changed_lines(delivered(spark, d), changed).select("finding_id", "rule_id", "path", "line_no")
+    return findings.on_changed_lines(delivered(spark, d, "rule_id", "path", "line_no"), changed).select("finding_id", "rule_id", "path", "line_no")
 
 
 @query("baseline_diff", f"WITH {_LATEST}, x AS (SELECT project, rule_id, count(*) FILTER (confidence = 'high') AS before, count(*) FILTER (confidence = 'medium') AS after FROM f GROUP BY ALL) SELECT project, rule_id, before, after FROM x WHERE before <> after")
 def baseline_diff(spark: SparkSession, d: str) -> DataFrame:
     """Counts by project and rule that differ between findings of high and of medium confidence."""
-    f = delivered(spark, d)
+    f = delivered(spark, d, "project", "rule_id", "confidence")
     return findings.differences(f.where("confidence = 'high'"), f.where("confidence = 'medium'"))
 
 
 @query("scan_summary", f"WITH {_LATEST} SELECT count(*) AS findings, count(DISTINCT path) AS paths, count(DISTINCT rule_id) AS rules, CAST(sum(CASE WHEN {_SEVERITY} = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS error, CAST(sum(CASE WHEN {_SEVERITY} = 'warning' THEN 1 ELSE 0 END) AS BIGINT) AS warning, CAST(sum(CASE WHEN {_SEVERITY} = 'info' THEN 1 ELSE 0 END) AS BIGINT) AS info FROM f")
 def scan_summary(spark: SparkSession, d: str) -> DataFrame:
-    return report.summary(delivered(spark, d))
+    return report.summary(delivered(spark, d, "path", "rule_id", "severity"))
 
 
 @query("project_digests")
 def project_digests(spark: SparkSession, d: str) -> DataFrame:
-    return findings.digests(delivered(spark, d))
+    return findings.digests(delivered(spark, d, "project", "path", "line_no", "rule_id"))
 
 
 @query("report_text", f"WITH {_LATEST} SELECT finding_id, concat_ws('  ', concat_ws(':', path, line_no, col_no), rule_id, upper({_SEVERITY})) AS line FROM f")
 def report_text(spark: SparkSession, d: str) -> DataFrame:
-    return report.text_lines(delivered(spark, d))
+    return report.text_lines(delivered(spark, d, "path", "line_no", "col_no", "rule_id", "severity"))
 
 
 _ESC = "replace(replace(replace({0}, '%', '%25'), chr(13), '%0D'), chr(10), '%0A')"
@@ -331,7 +331,7 @@ _ESC = "replace(replace(replace({0}, '%', '%25'), chr(13), '%0D'), chr(10), '%0A
 
 @query("report_commands", f"WITH {_LATEST} SELECT finding_id, '::' || CASE WHEN {_SEVERITY} = 'info' THEN 'notice' ELSE {_SEVERITY} END || ' file=' || replace(replace({_ESC.format('path')}, ':', '%3A'), ',', '%2C') || ',line=' || line_no || ',col=' || col_no || ',title=' || rule_id || '::' || {_ESC.format(chr(34) + 'o' + chr(34))} AS line FROM (SELECT *, coalesce(observation, '') AS o FROM f)")
 def report_commands(spark: SparkSession, d: str) -> DataFrame:
-    return report.workflow_commands(delivered(spark, d))
+    return report.workflow_commands(delivered(spark, d, "path", "line_no", "col_no", "rule_id", "severity", "observation"))
 
 
 @query("report_json")
@@ -341,9 +341,9 @@ def report_json(spark: SparkSession, d: str) -> DataFrame:
 
 @query("report_sarif")
 def report_sarif(spark: SparkSession, d: str) -> DataFrame:
-    return report.sarif_lines(delivered(spark, d))
+    return report.sarif_lines(delivered(spark, d, "rule_id", "severity", "path", "observation", "line_no", "col_no", "end_line_no", "end_col_no"))
 
 
 @query("report_code_quality")
 def report_code_quality(spark: SparkSession, d: str) -> DataFrame:
-    return report.code_quality(delivered(spark, d))
+    return report.code_quality(delivered(spark, d, "rule_id", "path", "evidence", "severity", "line_no", "col_no"))

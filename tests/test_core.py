@@ -212,6 +212,15 @@ def test_history_and_globs(spark):
 
 def test_fingerprints():
     assert findings.fnv1a_128(["", None, "a"]) == ["6c62272e07bb014262b821756295c58d", None, "d228cb696f1a8caf78912b704e4a8964"]
+    texts = ["é" * 300, "plain", "", "x" * 257, "a b"]
+
+    def plain(v):
+        h = 0x6C62272E07BB014262B821756295C58D
+        for b in v.encode():
+            h = (h ^ b) * ((1 << 88) + 0x13B) % (1 << 128)
+        return f"{h:032x}"
+
+    assert findings.fnv1a_128(texts) == [plain(t) for t in texts]
 
 
 def test_relint_agrees_with_a_scan(spark, tmp_path):
