@@ -70,7 +70,7 @@ def masked(text: Column) -> Column:
     t = _replace(t, f"([.!?…؟۔।॥]{CLOSERS})(?=\\s+{letter})", f"$1{CUT}")
     t = _replace(t, f"([。！？｡]++{CLOSERS})(?=[^。！？｡{CUT}])", f"$1{CUT}")
     t = F.when(text.rlike("[Ͱ-Ͽ]"), _replace(t, f"(;{CLOSERS})(?=\\s+{letter})", f"$1{CUT}")).otherwise(t)
-    t = _replace(t, r"(?=\n[^\S\n]*\n)(?<!\n)(?<!\n[^\S\n]{1,60})", CUT)
+    t = _replace(t, r"\n(?:[^\S\n]*\n)+", f"{CUT}$0")
     return F.when(text.rlike("[ก-๛]{3}"), _replace(t, WS + "+", f"{CUT}$0")).otherwise(t)
 
 
