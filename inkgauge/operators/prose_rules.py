@@ -8,7 +8,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property
 
-from ..functions.lexicons import CITATION, EMOJI, EXPRESSIONS, INTERJECTIONS, STATUS_EMOJI, STOP_WORDS, STRONG_CORRELATIVES, TRANSITIONS, WEAK_CORRELATIVES
+from ..functions.lexicons import CITATION, CITATION_LEFTOVERS, CONTRASTS, EMOJI, EXPRESSIONS, HERE_IS, INTERJECTIONS, ONE_OF, REVEALED, STATUS_EMOJI, STOP_WORDS, STRONG_CORRELATIVES, SUBJECTS, TRANSITIONS, VERBS, WEAK_CORRELATIVES
 from ..functions.phrases import QUOTED, Phrases
 from .density import LIMITS, ONE_HAND, OTHER_HAND
 
@@ -27,6 +27,16 @@ LISTED = re.compile(r"[ \t]*(?:[-*+•]|\d+[.)]|\|)(?:\s|$)")
 RELEASE_FILES, RELEASE_FOLDERS = re.compile(r"^(?:changelog|changes|history|news|releases?|release[-_ ]?notes)\b", re.I), frozenset("changelog changelogs changes release releases release-notes news".split())
 VERSION = re.compile(r"\d+(?:[._-]\d+)+")
 
+_it, _is = f"(?:{'|'.join(SUBJECTS)})", f"(?:'s| {'| '.join(VERBS)})"
+CONTRAST = tuple(re.compile(t.replace("{it}", _it).replace("{is}", _is), re.I) for t in CONTRASTS)
+LEFTOVER = re.compile("|".join(CITATION_LEFTOVERS), re.I)
+REVEAL = re.compile(
+    rf"(?:the (?:[a-z]+ )?(?:{'|'.join(REVEALED)})(?: is| was)?(?: simple| clear)?|there(?:'s| is| was) (?:one|a|just one|only one) (?:{'|'.join(ONE_OF)})|here(?:'s| is) (?:{'|'.join(HERE_IS)})):\s+\S", re.I
+)
+COLON = re.compile(r":(?=\s+\S)")
+LABEL = re.compile(r"\s*(?:[-*+#/]+\s*)?((?:[\w'-]+\s+){0,4}[\w'-]+):\s")
+BARE = re.compile(r"^[\s*+>/#!-]+")
+
 Found = tuple[str, int, int, str]
 
 
@@ -129,6 +139,58 @@ def patterns(p: Prose, path: str, kind: str) -> Iterator[Found]:
         yield "VIBE035", signs[0].start(1), 0, f"{len(signs)} decorated headings and items"
 
 
+def colons(p: Prose, source: str) -> Iterator[Found]:
+    """Staged reveals; else sentences with colons, apart from records with labels."""
+    texts = [(a, q, p.unquoted[a:b]) for a, b, q in p.sentences]
+    reveals = []
+    for i, (a, q, t) in enumerate(texts):
+        answered = t.endswith("?") and len(WORD.findall(t)) <= 4 and i + 1 < len(texts) and texts[i + 1][1] == q and not texts[i + 1][2].endswith("?")
+        if t[:1] != '"' and (answered or REVEAL.match(t)):
+            reveals.append(a)
+    if len(reveals) >= 3 and len(reveals) * 200 >= p.words:
+        yield "VIBE008", reveals[0], 0, f"{len(reveals)} staged reveals"
+        return
+    labels = [(m[1].lower() if (m := LABEL.match(x)) else None) for x in source.split("\n")]
+    record = [bool(x) and any(labels[max(0, i - k) : i - k + 3] == [x] * 3 for k in range(3) if i >= k) for i, x in enumerate(labels)]
+    plain = [(a, t) for a, _, t in texts if len(WORD.findall(t)) >= 3 and not record[min(source.count("\n", 0, a), len(record) - 1)]]
+    with_colon = [a for a, t in plain if COLON.search(t)]
+    if len(plain) >= 8 and len(with_colon) >= 4 and len(with_colon) * 5 >= len(plain) * 2:
+        yield "VIBE008", with_colon[0], 0, f"{len(with_colon)} of {len(plain)} sentences have colons"
+
+
+def split_contrast(first: str, second: str) -> int | None:
+    """Which of the forms two sentences make: something is denied and something else said of it, or it doesn't do one
+    thing and then does it, or something as short."""
+    one, two = WORD.findall(first.lower()), WORD.findall(second.lower())
+    subjects = {f"{s}{e}" for s in (*SUBJECTS, "they") for e in ("", "'s", "'re")}
+    if len(one) < 3 or len(two) < 2 or one[0] not in subjects or two[0] not in subjects:
+        return None
+    verbs = ("is", "are", "was", "were")
+    said = lambda w: 1 if "'" in w[0] else 2 if w[1] in verbs else 0
+    a, b = said(one), said(two)
+    denied = bool(a) and (one[a : a + 1] == ["not"] or one[a : a + 2] == ["no", "longer"]) or one[1] in [f"{v}n't" for v in verbs]
+    if denied:
+        return len(CONTRASTS) if b and two[b : b + 1] != ["not"] else None
+    if one[1] not in ("doesn't", "don't", "didn't") or "'" in two[0]:
+        return None
+    verb = next((w for w in one[2:] if w not in ("just", "only", "merely")), "")
+    same = len(verb) >= 3 and two[1].startswith(verb) and len(two[1]) <= len(verb) + 3
+    return len(CONTRASTS) + 1 if same or len(verb) >= 3 and len(one) <= 6 and len(two) <= 6 else None
+
+
+def contrasts(p: Prose) -> Iterator[Found]:
+    texts = [(a, BARE.sub("", p.unquoted[a:b])) for a, b, _ in p.sentences]
+    hits = []
+    for i, (a, t) in enumerate(texts):
+        form = next((k for k, c in enumerate(CONTRAST) if c.search(t)), None)
+        if form is None and i + 1 < len(texts):
+            form = split_contrast(t, texts[i + 1][1])
+        if form is not None and t[:1] != '"':
+            hits.append((a, form))
+    if len(hits) >= 3 and len({f for _, f in hits}) >= 2 and len(hits) * 250 >= p.words:
+        yield "VIBE020", hits[0][0], 0, f"{len(hits)} contrasts of {len({f for _, f in hits})} forms, {p.words} words"
+
+
 def even(p: Prose, spans: list[tuple], source: str, least: int, length: int, tolerance) -> tuple | None:
     """The first stretch of so many spans of nearly the same length; listed spans and foreign text between them break it."""
     run: list[tuple[tuple, int]] = []
@@ -179,4 +241,10 @@ def prose_findings(path: str, prose: str, source: str, kind: str) -> list[Found]
     if kind in ("config", "unknown") or not HAS_WORD.search(prose):
         return []
     p = Prose(prose)
-    return [*densities(p, path), *patterns(p, path, kind), *order(p, source, kind)]
+    out = [*densities(p, path), *patterns(p, path, kind), *order(p, source, kind)]
+    if left := LEFTOVER.search(prose):
+        out.append(("VIBE027", left.start(), 0, f"left over from a citation: {left[0].lower()}"))
+    if not release_notes(path):
+        out += contrasts(p)
+        out += colons(p, source) if kind in ("docs", "text") else ()
+    return out

@@ -44,10 +44,77 @@ def git_log(spark: SparkSession, repository: str, revisions: str, most: int = 50
     return history(spark.createDataFrame([(out,)], "value string"))
 
 
+def one_file(spark: SparkSession, path: str, text: str) -> DataFrame:
+    """path, bytes of a buffer that is scanned under a file's name."""
+    return spark.createDataFrame([(path, bytearray(text.encode()))], "path string, bytes binary")
+
+
+def commit_message(spark: SparkSession, path: str) -> DataFrame:
+    """path, source, from_history of the message in a file, as a commit hook gets it."""
+    with open(path, encoding="utf-8", errors="replace") as f:
+        return spark.createDataFrame([(path, f.read(), False)], "path string, source string, from_history boolean")
+
+
+def _git(repository: str, *args: str) -> bytes:
+    return subprocess.run(["git", "-C", repository, *args], check=True, capture_output=True).stdout
+
+
+def git_staged(spark: SparkSession, repository: str) -> DataFrame:
+    """path, bytes of what is staged in a local repository: files added, copied, changed or renamed, as the index has them."""
+    names = [n for n in _git(repository, "diff", "--cached", "--name-only", "-z", "--diff-filter=ACMR").decode().split("\0") if n]
+    return spark.createDataFrame([(n, bytearray(_git(repository, "show", f":{n}"))) for n in names], "path string, bytes binary")
+
+
+def git_changed(spark: SparkSession, repository: str, base: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """path, bytes of the files that differ from the index, or from where the head left ``base``, and path, start_line,
+    end_line of their added lines."""
+    span = [f"{base}...HEAD"] if base else []
+    names = [n for n in _git(repository, "diff", "--name-only", "-z", "--diff-filter=ACMR", *span).decode().split("\0") if n]
+
+    def content(n: str) -> bytes:
+        if base:
+            return _git(repository, "show", f"HEAD:{n}")
+        with open(f"{repository}/{n}", "rb") as f:
+            return f.read()
+
+    patches = [(n, _git(repository, "diff", "--unified=0", *span, "--", n).decode(errors="replace")) for n in names]
+    files = spark.createDataFrame([(n, bytearray(content(n))) for n in names], "path string, bytes binary")
+    return files, hunks(spark.createDataFrame(patches, "path string, patch string"))
+
+
+def displayed(path: Column, folder: str) -> Column:
+    """The path relative to a folder, if it lies below it."""
+    head = folder.rstrip("/") + "/"
+    return F.when(path.startswith(head), F.substring(path, len(head) + 1, 2**31 - 1)).otherwise(path)
+
+
+def attributes(files: DataFrame) -> DataFrame:
+    """dir, ord, pattern, attribute, value of the attribute files among files (path, text): whether a path is vendored or
+    generated. A minus sign or ``=false`` takes an attribute back."""
+    lines = files.where(F.element_at(F.split("path", "/"), -1) == ".gitattributes").select(F.regexp_extract("path", "^(.*/)?[^/]*$", 1).alias("dir"), F.posexplode(F.split("text", "\n")).alias("ord", "line"))
+    parts = lines.withColumn("line", F.trim("line")).where("line <> '' and not startswith(line, '#')").select("dir", "ord", F.split("line", r"\s+").alias("p"))
+    each = parts.select("dir", "ord", F.col("p")[0].alias("pattern"), F.explode(F.slice("p", 2, 100_000)).alias("a"))
+    out = each.select("dir", "ord", "pattern", F.regexp_extract("a", r"^-?linguist-(vendored|generated)(?:=\w+)?$", 1).alias("attribute"), (~F.col("a").startswith("-") & ~F.lower("a").endswith("=false")).alias("value"))
+    return out.where("attribute <> ''")
+
+
+def attributed(paths: DataFrame, rows: list) -> DataFrame:
+    """paths with the columns vendored and generated, by attribute rows collected from the project's few attribute files;
+    the deeper file and the later line win."""
+    for name in ("vendored", "generated"):
+        hits = [F.when(F.col("path").startswith(r["dir"]) & F.substring("path", len(r["dir"]) + 1, 2**31 - 1).rlike(glob_pattern(r["pattern"])), F.lit(r["value"])) for r in sorted((r for r in rows if r["attribute"] == name), key=lambda r: (-r["dir"].count("/"), -r["ord"]))]
+        paths = paths.withColumn(name, F.coalesce(*hits, F.lit(False)))
+    return paths
+
+
 def path_matches(path: Column, include: list[str], exclude: list[str]) -> Column:
-    """Whether globs include a path (an empty list includes all) and none excludes it; ** spans folders."""
-    any_of = lambda globs: F.coalesce(*(F.when(path.rlike(glob_pattern(g)), F.lit(True)) for g in globs), F.lit(False)) if globs else F.lit(False)
-    return (any_of(include) if include else F.lit(True)) & ~any_of(exclude)
+    """Whether globs include a path (an empty list includes all) and none excludes it; ** spans folders. Of a list, the
+    last glob that matches counts, and one with an exclamation mark takes back what earlier ones took."""
+
+    def last(globs: list[str]) -> Column:
+        return F.coalesce(*(F.when(path.rlike(glob_pattern(g.removeprefix("!"))), F.lit(not g.startswith("!"))) for g in reversed(globs)), F.lit(False))
+
+    return (last(include) if include else F.lit(True)) & ~(last(exclude) if exclude else F.lit(False))
 
 
 def glob_pattern(glob: str) -> str:

@@ -129,6 +129,10 @@ def test_code_rules(rule, path, language, bad, good):
 
 
 PROSE = [
+    ("VIBE008", "The result: it works. There is one catch: it is slow. Here is why: it waits.", "The list: one, two."),
+    ("VIBE008", " ".join(f"The {w} part holds: it has a value." for w in "one two six ten red sea oak elm".split()), "\n".join(f"Value: it is {w} here." for w in "one two six ten red sea oak elm".split())),
+    ("VIBE020", "It's not a cache. It's a table. It's fast, not cheap. Rather than wait, it reads.", "It is not a cache. The table is fast."),
+    ("VIBE027", "See turn0search3 for the source.", "See turn 0 for the source."),
     ("VIBE001", "Ultimately, it works. That said, moreover, it is fine. In essence, more broadly, it is done.", "Ultimately it works in the end."),
     ("VIBE002", "Absolutely! Great question, here it is. Certainly.", "Absolutely the best way."),
     ("VIBE016", "Some text first, long enough to be half. " * 4 + ". ".join(EXPRESSIONS["VIBE016"][:3]) + ".", EXPRESSIONS["VIBE016"][0]),
@@ -150,7 +154,7 @@ def test_prose_rules(rule, bad, good):
 
 def test_scan(spark):
     bad = "é = 1\ntry:\n    run()\nexcept ValueError:\n    pass\n"
-    rows = [(1, "b.py", bad, "code", "python"), (2, "b.py", bad.replace("except", "# inkgauge: ignore DEAD001 -- known\nexcept"), "code", "python"), (3, "a.md", PROSE[0][1], "docs", None), (4, "c.py", None, "code", "python"), (5, "d.md", "", None, None)]
+    rows = [(1, "b.py", bad, "code", "python"), (2, "b.py", bad.replace("except", "# inkgauge: ignore DEAD001 -- known\nexcept"), "code", "python"), (3, "a.md", next(x[1] for x in PROSE if x[0] == "VIBE001"), "docs", None), (4, "c.py", None, "code", "python"), (5, "d.md", "", None, None)]
     df = spark.createDataFrame(rows, "id long, path string, source string, kind string, code_lang string")
     got = {r["id"]: r for r in scan.scan(df, "id", {"VIBE001": "error"}, ("VIBE002",)).collect()}
     assert set(got) == {1, 3}
@@ -159,6 +163,54 @@ def test_scan(spark):
     assert scan.summary(scan.scan(df, "id"), df).first().asDict() == {"scanned_files": 5, "findings": 2, "errors": 1, "warnings": 1, "infos": 0}
 
 
+def test_config():
+    from inkgauge.sources.config import ConfigError, find, parse
+
+    c = parse('[inkgauge]\nfail-level = "error"\n[inkgauge.papertrail]\nenabled = false\n[inkgauge.rules]\nVIBE003 = "off"\nDEAD002 = "warn"\n[inkgauge.files]\nexclude = ["gen/"]\n')
+    assert (c.fail_level, c.off, c.overrides, c.exclude) == ("error", ("TRAIL001", "TRAIL002", "VIBE003"), {"DEAD002": "warning"}, ("gen/",))
+    for bad in ("[inkgauge]\nx = 1", '[inkgauge.rules]\nVIBE099 = "off"', '[inkgauge.rules]\nVIBE001 = "loud"', "[inkgauge", "".join(f"[inkgauge.{m}]\nenabled = false\n" for m in ("deadweight", "vibecheck", "papertrail"))):
+        with pytest.raises(ConfigError):
+            parse(bad)
+    assert find("/").fail_level == "warning"
+
+
+def test_git_sources(spark, tmp_path):
+    import subprocess
+
+    from inkgauge.sources import tables
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b.test", *a], check=True, capture_output=True)
+    git("init", "-q")
+    (tmp_path / "a.py").write_text("x = 1\n")
+    git("add", "a.py")
+    assert [(r["path"], bytes(r["bytes"])) for r in tables.git_staged(spark, str(tmp_path)).collect()] == [("a.py", b"x = 1\n")]
+    git("commit", "-qm", "first")
+    (tmp_path / "a.py").write_text("x = 1\ny = 2\nz = 3\n")
+    files, changed = tables.git_changed(spark, str(tmp_path))
+    assert bytes(files.first()["bytes"]).endswith(b"z = 3\n") and [tuple(r) for r in changed.collect()] == [("a.py", 2, 3)]
+    assert tables.git_log(spark, str(tmp_path), "HEAD").first()["source"].strip() == "first"
+    listed = spark.createDataFrame([(".gitattributes", "lib/** linguist-vendored\n*.pb.py linguist-generated=true\n"), ("lib/own/.gitattributes", "*.py -linguist-vendored\n")], "path string, text string")
+    paths = spark.createDataFrame([("lib/x.py",), ("lib/own/y.py",), ("src/z.pb.py",)], "path string")
+    got = {r["path"]: (r["vendored"], r["generated"]) for r in tables.attributed(paths, tables.attributes(listed).collect()).collect()}
+    assert got == {"lib/x.py": (True, False), "lib/own/y.py": (False, False), "src/z.pb.py": (False, True)}
+
+
+def test_reports(spark):
+    import json
+
+    rows = [(1, "b/a.py", 2, 3, 2, 9, "DEAD001", "DEAD", "error", "high", "é😀x <b>", None), (2, "a.md", 1, 1, 1, 4, "VIBE001", "VIBE", "warning", "medium", "t", "5 hits")]
+    f = spark.createDataFrame(rows, "finding_id long, path string, line_no int, col_no int, end_line_no int, end_col_no int, rule_id string, module_name string, severity string, confidence string, evidence string, observation string")
+    doc = json.loads(report.json_document(f, {"scanned_files": 2}))
+    assert [x["path"] for x in doc["findings"]] == ["a.md", "b/a.py"] and doc["summary"] == {"scanned_files": 2, "findings": 2}
+    sarif = json.loads(report.sarif_document(f))
+    assert sarif["runs"][0]["results"][1]["ruleId"] == "DEAD001" and len(sarif["runs"][0]["tool"]["driver"]["rules"]) == 2
+    assert "&lt;b&gt;" in report.html_page(f) and "<b>" not in report.html_page(f)
+    with pytest.raises(ValueError, match="more than 1 findings"):
+        report.json_document(f, {}, most=1)
+    sources = spark.createDataFrame([("b/a.py", "x\né😀x\n")], "path string, source string")
+    assert json.loads(report.diagnostics(f, sources).first()["diagnostic"])["range"]["start"] == {"line": 1, "character": 3}
+
+
 def test_documents():
     found = dict((r, n) for r, n in code_rules.code_findings("a.md", "# Title\n\nIt contains 32 rules.\n\n## Empty\n\n## Next\n\nText.\n", "docs", None))
     assert found == {"DEAD013": 3, "DEAD012": 5}
