@@ -70,6 +70,65 @@ def document_view(source: str) -> str:
     return "\n".join(out)
 
 
+#: Directives whose body is running text.
+RST_PROSE = frozenset(
+    "admonition attention caution container danger deprecated error hint important note only rubric seealso sidebar tip topic versionadded versionchanged versionremoved warning".split()
+)
+RST_DIRECTIVE = re.compile(r"\.\.\s+(?:([\w:-]+)::|\S|$)")
+RST_INLINE = re.compile(r"``.+?``|:[\w:+.-]+:`[^`\n]+`|`[^`\n]+`_{0,2}")
+RST_FIELD = re.compile(r"[ \t]*:[^:\n]+:(?=\s|$)")
+
+
+def rst_view(source: str) -> str:
+    """The prose of a reStructuredText document: no directives but those whose body is text, no literal blocks, doctests,
+    roles, fields or inline code."""
+    out: list[str] = []
+    lines = source.split("\n")
+    i = 0
+
+    def width(x: str) -> int:
+        return len(x.expandtabs(8)) - len(x.expandtabs(8).lstrip())
+
+    def take(column: int, off: bool) -> None:
+        """The lines of a block indented past a column, blanked or kept."""
+        nonlocal i
+        while i < len(lines) and (not lines[i].strip() or width(lines[i]) > column):
+            out.append(blank(lines[i]) if off else lines[i])
+            i += 1
+
+    while i < len(lines):
+        line, bare = lines[i], lines[i].strip()
+        if bare.startswith(">>>"):
+            while i < len(lines) and lines[i].strip():
+                out.append(blank(lines[i]))
+                i += 1
+            continue
+        m = RST_DIRECTIVE.match(bare)
+        if m or bare == "..":
+            column = width(line)
+            prose = m is not None and m[1] in RST_PROSE
+            head = line.index("..") + (m.end() if prose else 0)
+            out.append(blank(line[:head]) + line[head:] if prose else blank(line))
+            i += 1
+            while prose and i < len(lines) and width(lines[i]) > column and lines[i].strip().startswith(":"):
+                out.append(blank(lines[i]))
+                i += 1
+            if not prose:
+                take(column, True)
+            continue
+        text = RST_INLINE.sub(lambda x: blank(x[0]), line)
+        text = RST_FIELD.sub(lambda x: blank(x[0]), text, count=1) if RST_FIELD.match(text) else text
+        out.append(text)
+        i += 1
+        if bare.endswith("::"):
+            column, at = width(line), i
+            while at < len(lines) and not lines[at].strip():
+                at += 1
+            if at < len(lines) and width(lines[at]) > column:
+                take(column, True)
+    return "\n".join(out)
+
+
 def text_view(source: str) -> str:
     """Plain text without the indented block that a line ending in a colon leads in."""
     out, lead, inside = [], False, False
@@ -82,12 +141,12 @@ def text_view(source: str) -> str:
     return "\n".join(out)
 
 
-def views(source: str | None, kind: str | None, language: str | None) -> dict | None:
+def views(source: str | None, kind: str | None, language: str | None, path: str = "") -> dict | None:
     if source is None:
         return None
     if kind == "code":
         prose, code = code_views(source, language)
     else:
         code = blank(source)
-        prose = document_view(source) if kind == "docs" else text_view(source) if kind == "text" else blank(source)
+        prose = rst_view(source) if kind == "docs" and path.lower().endswith(".rst") else document_view(source) if kind == "docs" else text_view(source) if kind == "text" else blank(source)
     return {"prose": prose, "code": code}

@@ -236,7 +236,7 @@ def assertion_findings(f: File) -> Iterator[tuple[str, int]]:
 def code_findings(path: str, source: str, kind: str, language: str | None) -> list[tuple[str, int]]:
     """rule and one-based line of each finding of one file."""
     source = source.replace("\r\n", "\n")
-    v = views(source, kind, language)
+    v = views(source, kind, language, path)
     prose, code = v["prose"], v["code"]
     if kind == "docs":
         return [("DEAD013", source.count("\n", 0, m.start()) + 1) for m in INVENTORY.finditer(prose)] + [("DEAD012", n) for n in empty_sections(prose)]

@@ -41,7 +41,7 @@ def scan_file(path: str, source: str, kind: str, language: str | None) -> list[d
     lines = [0]
     for x in source.split("\n"):
         lines.append(lines[-1] + len(x) + 1)
-    found = [(rule, at, said) for rule, at, _, said in prose_findings(path, views(source, kind, language)["prose"], source, kind)]
+    found = [(rule, at, said) for rule, at, _, said in prose_findings(path, views(source, kind, language, path)["prose"], source, kind)]
     for rule, n in code_findings(path, source, kind, language):
         at = lines[n - 1]
         found.append((rule, at + len(source[at : lines[n] - 1]) - len(source[at : lines[n] - 1].lstrip()), None))

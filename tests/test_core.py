@@ -79,6 +79,16 @@ def test_views_keep_every_place(kind, language):
         assert len(v) == len(source) and [i for i, c in enumerate(v) if c == "\n"] == [i for i, c in enumerate(source) if c == "\n"]
 
 
+def test_restructured_text():
+    source = "Title\n=====\n\nSee :ref:`this part` and ``code``::\n\n    literal block\n\nKept line.\n\n.. note:: Mind it.\n   :class: x\n\n   Body stays.\n\n.. code-block:: python\n\n   x = 1\n\n>>> run()\n1\n\n:author: someone\n"
+    prose = views(source, "docs", None, "a.rst")["prose"]
+    assert len(prose) == len(source)
+    for word in ("Title", "See", "Kept line.", "Mind it.", "Body stays.", "someone"):
+        assert word in prose
+    for word in ("this part", "code", "literal", "class", "x = 1", "run()", "author"):
+        assert word not in prose
+
+
 CODE = [
     ("DEAD001", "a.py", "python", "try:\n    run()\nexcept ValueError:\n    pass\n", "try:\n    run()\nexcept ImportError:\n    pass\n"),
     ("DEAD001", "a.js", "javascript", "try { a() } catch (e) {}\n", "try { a() } catch (e) { log(e) }\n"),
