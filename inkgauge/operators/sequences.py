@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicons import STOP_WORDS
@@ -20,36 +20,41 @@ def sentence_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.withColumn("n", n_words(F.col("text")))
 
 
-def even_runs(rows: DataFrame, key: str, order: list[str], least: int, length: int, tolerance) -> DataFrame:
+def once(df: DataFrame, key: str, c: Column, name: str) -> DataFrame:
+    """key and the column, computed once for each row: behind a generator the optimizer doesn't repeat it at each use."""
+    return df.select(key, F.explode(F.array(c)).alias(name))
+
+
+def even_runs(df: DataFrame, key: str, counts: Column, least: int, length: int, tolerance) -> DataFrame:
     """key, first_ord, low, high: the first stretch of ``length`` units of at least ``least`` words whose lengths differ
-    by no more than tolerance(low); shorter units are passed over."""
-    kept = rows.where(F.col("n") >= least)
-    along = Window.partitionBy(key).orderBy(*order)
-    ahead = along.rowsBetween(0, length - 1)
-    seen = kept.select(key, F.row_number().over(along).cast("bigint").alias("ord"), F.min("n").over(ahead).alias("low"), F.max("n").over(ahead).alias("high"), F.count("*").over(ahead).alias("k"))
-    even = seen.where((F.col("k") == length) & (F.col("high") - F.col("low") <= tolerance(F.col("low"))))
-    first = even.groupBy(key).agg(F.min(F.struct("ord", "low", "high")).alias("f"))
+    by no more than tolerance(low); shorter units are passed over. The counts are an array of the row, so windows never
+    leave it and nothing is shuffled."""
+    kept = once(df, key, F.filter(counts, lambda n: n >= least), "_n")
+    starts = F.when(F.size("_n") >= length, F.sequence(F.lit(1), F.size("_n") - (length - 1))).otherwise(F.array().cast("array<int>"))
+    ahead = F.transform(starts, lambda i: F.struct(i.cast("bigint").alias("ord"), F.array_min(F.slice("_n", i, length)).alias("low"), F.array_max(F.slice("_n", i, length)).alias("high")))
+    first = kept.select(key, F.get(F.filter(ahead, lambda w: w["high"] - w["low"] <= tolerance(w["low"])), F.lit(0)).alias("f")).where("f is not null")
     return first.select(key, F.col("f.ord").alias("first_ord"), F.col("f.low").alias("low"), F.col("f.high").alias("high"))
 
 
 def rhythm(df: DataFrame, key: str, text: str) -> DataFrame:
     """VIBE010: eight sentences in a row of nearly the same length."""
-    return even_runs(sentence_rows(df, key, text), key, ["p", "s"], 8, 8, lambda low: F.lit(3))
+    return even_runs(df, key, F.flatten(F.transform(paragraphs(F.col(text)), lambda p: F.transform(sentences(p), n_words))), 8, 8, lambda low: F.lit(3))
 
 
 def symmetry(df: DataFrame, key: str, text: str) -> DataFrame:
     """VIBE018: five paragraphs in a row of nearly the same length."""
-    return even_runs(paragraph_rows(df, key, text), key, ["p"], 20, 5, lambda low: F.greatest(F.floor(low / 5), F.lit(4)))
+    return even_runs(df, key, F.transform(paragraphs(F.col(text)), n_words), 20, 5, lambda low: F.greatest(F.floor(low / 5), F.lit(4)))
 
 
 def restated(df: DataFrame, key: str, text: str) -> DataFrame:
-    """VIBE017: neighbouring sentences with nearly the same words. key, p, s, common, together."""
-    content = F.array_distinct(F.filter(words(F.col("text")), lambda w: ~w.isin(*STOP_WORDS)))
-    rows = sentence_rows(df, key, text).select(key, "p", "s", content.alias("w"))
-    before = F.lag("w").over(Window.partitionBy(key, "p").orderBy("s"))
-    pairs = rows.withColumn("b", before).where((F.size("w") >= 7) & (F.size("b") >= 7))
-    common, together = F.size(F.array_intersect("b", "w")).cast("bigint"), F.size(F.array_union("b", "w")).cast("bigint")
-    out = pairs.select(key, F.col("p").cast("bigint").alias("p"), F.col("s").cast("bigint").alias("s"), common.alias("common"), together.alias("together"))
+    """VIBE017: neighbouring sentences with nearly the same words. key, p, s, common, together. Neighbours are compared
+    within the row of their paragraph."""
+    content = lambda c: F.array_distinct(F.filter(words(c), lambda w: ~w.isin(*STOP_WORDS)))
+    rows = df.select(key, F.posexplode(paragraphs(F.col(text))).alias("p", "t"))
+    rows = rows.select(key, "p", F.explode(F.array(F.transform(sentences(F.col("t")), content))).alias("w")).where(F.size("w") > 1)
+    both = lambda i, f: F.size(f(F.get("w", i - 1), F.get("w", i))).cast("bigint")
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.when((F.size(F.get("w", i)) >= 7) & (F.size(F.get("w", i - 1)) >= 7), F.struct(i.cast("bigint").alias("s"), both(i, F.array_intersect).alias("common"), both(i, F.array_union).alias("together"))))
+    out = rows.select(key, F.col("p").cast("bigint").alias("p"), F.explode(F.array_compact(pairs)).alias("x")).select(key, "p", "x.*")
     return out.where((F.col("common") >= 7) & (F.col("common") * 4 >= F.col("together") * 3))
 
 
