@@ -58,6 +58,45 @@ def seeded_contexts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "contexts").select("ctx_id", F.concat("prose", F.lit("\n\n"), passage("ctx_id")).alias("prose"), F.concat("source", F.lit("\n\n"), passage("ctx_id")).alias("source"))
 
 
+_PYTHON = (
+    "try:\n    run()\nexcept ValueError:\n    pass\n",
+    "# todo handle the empty case\nx = 1\n",
+    "def part(x):\n    raise NotImplementedError\n",
+    "try:\n    run()\nexcept ValueError:\n    return None\n",
+    "def part(x):\n    pass\n",
+    "# read the whole file\n# read the whole file\nx = 1\n",
+    "def load(a, b):\n    return store.load(a, b)\n",
+    "if a:\n    return True\nelse:\n    return False\n",
+    "try:\n    run()\nexcept ValueError:\n    raise\n",
+    "try:\n    run()\nexcept ValueError as e:\n    print(e)\n",
+    "# Step 1: read\nx = 1\n# Step 2: write\ny = 2\n",
+    "try:\n    run()\nexcept ImportError:\n    pass\n",
+)
+_SCRIPT = (
+    "try { run(); } catch (e) {}\n",
+    "function part() { throw new Error(\"not implemented\"); }\n",
+    "try { run(); } catch (e) { return null; }\n",
+    "function part() {}\n",
+    "function load(a, b) { return store.load(a, b); }\n",
+    "if (a) { return true; } else { return false; }\n",
+    "try { run(); } catch (e) { throw e; }\n",
+    "try { run(); } catch (e) { console.log(e); }\n",
+    "async function save(a) { return { ok: true }; }\n",
+    "const x = <a onClick={() => {}} />;\n",
+    "// FIXME later\nlet x = 1;\n",
+    "try { run(); } catch (ignored) {}\n",
+)
+_OTHER = ("// TODO handle the empty case\n", "func part() {}\n")
+_DOCUMENT = ("## Empty\n\n## Next\n\nIt contains 32 rules.\n", "## Full\n\nIt contains rules.\n")
+
+
+def snippet(key: str) -> Column:
+    """A piece of code or of a document, by the kind, the language and the key of a context."""
+    of = lambda texts: F.element_at(F.array(*map(F.lit, texts)), (F.pmod(F.col(key), F.lit(len(texts))) + 1).cast("int"))
+    code = F.when(F.col("code_lang") == "python", of(_PYTHON)).when(F.col("code_lang").isin("javascript", "typescript"), of(_SCRIPT)).otherwise(of(_OTHER))
+    return F.when(F.col("kind") == "code", code).otherwise(of(_DOCUMENT))
+
+
 def _passage_sql(key: str) -> str:
     return f"CASE {key} % {len(PASSAGES)} " + " ".join(f"WHEN {i} THEN " + "'" + p.replace("'", "''") + "'" for i, p in enumerate(PASSAGES)) + " END"
 
@@ -225,14 +264,15 @@ def skip_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 @query("code_findings")
 def code_findings(spark: SparkSession, d: str) -> DataFrame:
-    """ctx_id, rule_id, line of all rules on code and documents."""
-    return code_rules.findings(table(spark, d, "contexts").select("ctx_id", "path", "source", "kind", "code_lang"), "ctx_id")
+    """ctx_id, rule_id, line of all rules on code and documents, with a snippet behind every context."""
+    rows = table(spark, d, "contexts").select("ctx_id", "path", F.concat("source", F.lit("\n\n"), snippet("ctx_id")).alias("source"), "kind", "code_lang")
+    return code_rules.findings(rows, "ctx_id")
 
 
 @query("scan_files")
 def scan_files(spark: SparkSession, d: str) -> DataFrame:
     """All findings of all contexts, with passages that every rule has something to find in."""
-    rows = table(spark, d, "contexts").select("ctx_id", "path", F.concat("source", F.lit("\n\n"), passage("ctx_id")).alias("source"), "kind", "code_lang")
+    rows = table(spark, d, "contexts").select("ctx_id", "path", F.concat("source", F.lit("\n\n"), F.when(F.col("kind") == "code", snippet("ctx_id")).otherwise(passage("ctx_id"))).alias("source"), "kind", "code_lang")
     return scan.scan(rows, "ctx_id", POLICY)
 
 
