@@ -88,12 +88,19 @@ BANNERS = (
     re.compile(r"^\W*(?P<lib>[A-Za-z][\w.@/-]*) v\d+\.\d+(?:\.\d+)?\S*\s*\n\W*(?:https?://|\(c\)|copyright)", re.I | re.M),
     re.compile(r"^\W*(?P<lib>[A-Za-z][\w.@/-]*) v?\d+\.\d+\.\d+\S* \| .+(?:\| \S+|licen[cs]e|terms)", re.I | re.M),
 )
+#: One of these stands in every such banner; none has a letter that another sign, ignoring case, could stand for.
+BANNER_HINTS = (("tream:",), ("://", "(c)", "copyr"), (" | ",))
 TOKEN = re.compile(r"[^\W\d]\w*|\d[\w.]*|[^\w\s]")
-PIECE = re.compile(r"(?P<comment>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|(?<![\w&$])#(?![0-9a-fA-F]{3,8}[;\s}])[^\n]*)|(?P<text>\"\"\"[\s\S]*?(?:\"\"\"|\Z)|b?\"(?:\\.|[^\"\\\n])*\"|b?'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)")
-NATURAL = re.compile(r"[^\W\d_]{2,}\s+[^\W\d_]{2,}\s+[^\W\d_]{2,}")
+#: Comments and texts. Each branch begins with a fixed sign, so that the search skips to the next of these signs.
+PIECE = re.compile(
+    r"//[^\n]*|/\*[^*]*+(?:\*(?!/)[^*]*+)*+(?:\*/|\Z)|#(?<![\w&$]#)(?![0-9a-fA-F]{3,8}[;\s}])[^\n]*"
+    r"|\"\"\"[^\"]*+(?:\"(?!\"\")[^\"]*+)*+(?:\"\"\"|\Z)|b\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\""
+    r"|b'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`\\]*+(?:\\.[^`\\]*+)*+`"
+)
+NATURAL = re.compile(r"(?<![^\W\d_])[^\W\d_]{2,}+\s++[^\W\d_]{2,}+\s++[^\W\d_]{2}")
 INTEGERS = re.compile(r"\d+")
 LETTERS = re.compile(r"[^\W\d]+")
-DIGITS = frozenset("0123456789")
+DIGIT = re.compile("[0-9]")
 
 #: Data saved as code is so large and, by so large a share, literals; in a cluster of nothing but literals, by this one.
 BLOB_BYTES, BLOB_SHARE, CLUSTER_SHARE = 500, 0.85, 0.7
@@ -106,29 +113,45 @@ _A = _rng.integers(1, 2**63, _N, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 2**63, _N, dtype=np.uint64)
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 NAME, LITERAL = 1, 2
+#: Set in the checksum of every identifier, so that none is zero.
+IS_NAME = 1 << 32
+
 
+class _Words(dict):
+    """Rows of ``table`` by token: its number with identifiers masked, and with literals masked too; the checksum that an
+    identifier counts by in the names; its length if it is a number, and if it is a word. A literal comes as a quotation
+    mark and its checksum."""
 
-class _Codes(dict):
-    """Token numbers with identifiers masked, and, if so asked, literals too; forgets all of them when it gets large. A
-    literal comes as a quotation mark and its checksum."""
+    OWN, PLAN, NAME, NUMBER, WORD = range(5)
 
-    def __init__(self, literals: bool):
+    def __init__(self):
         super().__init__()
-        self.literals = literals
+        self.table = np.zeros((5, 4096), np.uint64)
 
     def __missing__(self, token: str) -> int:
+        at = len(self)
+        if at == self.table.shape[1]:
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
+        c, code = token[0], zlib.crc32(token.encode("utf-8", "surrogatepass"))
+        word = c.isalpha() or c == "_"
+        if word and token not in KEYWORDS:
+            self.table[:, at] = NAME, NAME, code | IS_NAME, 0, len(token)
+        else:
+            plan = LITERAL if c == '"' or c.isdigit() else code | 4
+            self.table[:, at] = code | 4, plan, 0, len(token) if c.isdigit() else 0, len(token) if word else 0
+        self[token] = at
+        return at
+
+    def rows(self, tokens: list[str]) -> np.ndarray:
+        """The table's columns of these tokens; what is known is forgotten between files when it gets large."""
         if len(self) > 200_000:
             self.clear()
-        c = token[0]
-        if c.isalpha() or c == "_":
-            n = zlib.crc32(token.encode()) | 4 if token in KEYWORDS else NAME
-        else:
-            n = LITERAL if not self.literals and (c == '"' or c.isdigit()) else zlib.crc32(token.encode("utf-8", "surrogatepass")) | 4
-        self[token] = n
-        return n
+            self.table = np.zeros((5, 4096), np.uint64)
+        at = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        return self.table[:, at]
 
 
-CODES, PLAN = _Codes(True), _Codes(False)
+WORDS = _Words()
 
 
 def decode(raw: bytes | None) -> str:
@@ -149,11 +172,20 @@ def runs(codes: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint64)
     h = np.zeros(n, np.uint64)
     for i in range(WIDTH):
-        h = (h ^ codes[i : n + i]) * _P[i]
+        h ^= codes[i : n + i]
+        h *= _P[i]
         h ^= h >> np.uint64(29)
     return h >> np.uint64(32)
 
 
+def unique(h: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted."""
+    low = np.sort(h)
+    new = np.ones(len(low), bool)
+    np.not_equal(low[1:], low[:-1], out=new[1:])
+    return low[new]
+
+
 def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct values, sorted, with a place and the number of each."""
     order = np.argsort(h)
@@ -164,7 +196,9 @@ def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def minima(h: np.ndarray, at: int, n: int) -> np.ndarray:
     """The minima of a set under n permutations, from number ``at`` on."""
-    return (h[None, :] * _A[at : at + n, None] + _B[at : at + n, None]).min(axis=1) >> np.uint64(1)
+    moved = h[None, :] * _A[at : at + n, None]
+    moved += _B[at : at + n, None]
+    return moved.min(axis=1) >> np.uint64(1)
 
 
 def folded(low: np.ndarray) -> list[int]:
@@ -185,8 +219,8 @@ def set_hash(*sets: np.ndarray) -> int:
     return h
 
 
-def signed(h: np.ndarray) -> list[int]:
-    return h.astype(np.uint32).view(np.int32).tolist()
+def signed(h: np.ndarray) -> np.ndarray:
+    return h.astype(np.uint32).view(np.int32)
 
 
 def unsigned(a: np.ndarray) -> np.ndarray:
@@ -195,16 +229,17 @@ def unsigned(a: np.ndarray) -> np.ndarray:
 
 def counting(lines: list[str]) -> bool:
     """Whether lines of one shape count upwards by one, through most of the file."""
-    by: dict[str, list[list[str]]] = {}
-    numbered = [x for x in lines if not DIGITS.isdisjoint(x)]
+    numbered = [x for x in lines if DIGIT.search(x)]
     if len(numbered) < COUNT_LINES or len(lines) > COUNT_SPREAD * len(numbered):
         return False
-    for x in numbered:
-        by.setdefault(INTEGERS.sub("0", LETTERS.sub("a", x.strip())), []).append(INTEGERS.findall(x))
+    shapes = INTEGERS.sub("0", LETTERS.sub("a", "\n".join([x.strip() for x in numbered]))).split("\n")
+    by: dict[str, list[str]] = {}
+    for shape, x in zip(shapes, numbered):
+        by.setdefault(shape, []).append(x)
     for group in by.values():
-        if len(group) < COUNT_LINES or len(lines) > COUNT_SPREAD * len(group) or not group[0]:
+        if len(group) < COUNT_LINES or len(lines) > COUNT_SPREAD * len(group):
             continue
-        for column in zip(*group):
+        for column in zip(*map(INTEGERS.findall, group)):
             n = [int(v) if len(v) < 16 else -9 for v in column]
             if sum(b - a == 1 for a, b in zip(n, n[1:])) >= 0.9 * (len(n) - 1):
                 return True
@@ -220,59 +255,61 @@ def sketch(path: str | None, raw: bytes | None) -> dict | None:
     text = decode(raw).replace("\r\n", "\n")
     literal = written = at = 0
     bare: list[str] = []
+    joined: list[str] = []  # the code, a comment as a blank and a text as a quotation mark
+    quotes: list[str] = []  # the token of each quotation mark there
     notes: list[str] = []  # comments, those with nothing between them as one; and what the file opens with
-    tokens: list[str] = []
-    after_note = False
+    begun = after_note = False
     for m in PIECE.finditer(text):
         between = text[at : m.start()]
         if between and not between.isspace():
-            tokens += TOKEN.findall(between)
-            after_note = False
+            if '"' in between:
+                quotes += ['"'] * between.count('"')
+            begun, after_note = True, False
         bare.append(between)
+        joined.append(between)
         at, whole = m.end(), m[0]
-        if m.lastgroup == "text":
-            if NATURAL.search(whole):
+        if whole[0] not in "/#":
+            parts = whole.split()
+            if len(parts) > 2 and NATURAL.search(whole):
                 written += len(whole)
             else:
-                literal += len("".join(whole.split()))
+                literal += len("".join(parts))
                 bare.append(" S ")
-            if not tokens:
+            if not begun:
                 notes.append(whole)
-            tokens.append(f'"{zlib.crc32(whole.encode("utf-8", "surrogatepass")):x}')
-            after_note = False
+            joined.append('"')
+            quotes.append(f'"{zlib.crc32(whole.encode("utf-8", "surrogatepass")):x}')
+            begun, after_note = True, False
         else:
             bare.append("\n" * whole.count("\n") or " ")
+            joined.append(" ")
             if after_note:
                 notes[-1] += "\n" + whole
             else:
                 notes.append(whole)
             after_note = True
     bare.append(text[at:])
-    tokens += TOKEN.findall(text[at:])
+    joined.append(text[at:])
     code = "".join(bare)
-    kinds = list(dict.fromkeys(tokens))
-    index = {t: i for i, t in enumerate(kinds)}
-    at_kind = np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
-    numbers = words = 0
-    for t, k in zip(kinds, np.bincount(at_kind, minlength=len(kinds)).tolist()):
-        if t[0].isdigit():
-            numbers += len(t) * k
-        elif t[0] == "_" or t[0].isalpha():
-            words += len(t) * k
-    code_lines = [x for x in code.split("\n") if x.strip()]
+    tokens = TOKEN.findall("".join(joined))
+    at = -1
+    for x in quotes:
+        at = tokens.index('"', at + 1)
+        tokens[at] = x
+    own, plan, named, numbers, words = WORDS.rows(tokens)
+    numbers, words = int(numbers.sum()), int(words.sum())
+    code_lines = [x for x in code.split("\n") if x and not x.isspace()]
     comments = "\n\n".join(notes)
     low = comments.lower()
     marked = any(x in low for x in MARK_HINTS) and any(MARK.search(x) and not NOT_MARK.search(x) for note in notes for x in (*note.split("\n"), " ".join(y.strip(" /*#") for y in note.split("\n"))))
-    spaces = len(code) - len("".join(code.split()))
+    spaces = len(code) - len("".join(code.split())) if extension in SQUEEZED else 0
     squeezed = extension in SQUEEZED and len(text) >= MIN_BYTES and spaces <= MIN_SPACE * len(code) and len(code) >= MIN_LINE * max(1, len(code_lines)) / (3 if ".min." in name else 1)
     if extension == "css" and not squeezed:
         squeezed = len(text) >= MIN_BYTES and spaces <= MIN_SPACE * len(code) and not any(x.rstrip().endswith("{") for x in code_lines) and len(code_lines) < code.count("}")
     folder = LIBRARY_FOLDER.search(path or "")
-    own = np.fromiter(map(CODES.__getitem__, kinds), np.uint64, len(kinds))[at_kind]
-    plan = np.fromiter(map(PLAN.__getitem__, kinds), np.uint64, len(kinds))[at_kind]
-    h, _, _ = distinct(runs(own))
-    g, first, often = distinct(runs(plan))
-    names, _, _ = distinct(np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in kinds if (t[0].isalpha() or t[0] == "_") and t not in KEYWORDS], np.uint64))
+    h = unique(runs(own))
+    g, first, often = distinct(runs(plan[:0] if squeezed else plan))
+    names = unique(named[named > 0]) & np.uint64(IS_NAME - 1)
     enough = len(h) > 0 and len(h) + len(names) >= LEAST_KINDS
     wordless = plan != NAME
     clean = np.ones(len(plan) - WIDTH + 1, bool) if len(plan) >= WIDTH else np.zeros(0, bool)
@@ -288,15 +325,15 @@ def sketch(path: str | None, raw: bytes | None) -> dict | None:
         "names": signed(names) if enough else None,
         # what a minifier wrote has its layout for a plan
         "plan": None if squeezed else signed(g),
-        "plan_times": None if squeezed else often.tolist(),
-        "plan_bare": None if squeezed else clean[first].astype(np.int32).tolist() if len(g) else [],
+        "plan_times": None if squeezed else often.astype(np.int32),
+        "plan_bare": None if squeezed else clean[first].astype(np.int32),
         "bands": bands,
         "sig": set_hash(h, names) if enough else None,
         "marked": marked,
         "counting": counting(code_lines),
         "minified": bool(squeezed),
         "literal_share": (literal + numbers) / max(1, literal + numbers + words + written) if len(text) >= BLOB_BYTES else 0.0,
-        "banner": next((m["lib"] for p in BANNERS if (m := p.search(comments))), None),
+        "banner": next((m["lib"] for p, some in zip(BANNERS, BANNER_HINTS) if any(x in low for x in some) and (m := p.search(comments))), None),
         "folder": folder["lib"] if folder else None,
     }
 
@@ -404,8 +441,11 @@ def plans(every: DataFrame, common: dict[str, np.ndarray]) -> DataFrame:
     """file_id, project, rare, bands, sig, bare of the files that uncommon shingles cover by half: those shingles, and
     the share of them that hold no word."""
 
+    none = np.zeros(0, np.int32)
+
     def one(language: str, plan: np.ndarray, times: np.ndarray, bare: np.ndarray) -> dict | None:
-        keep = ~np.isin(plan, common.get(language, np.zeros(0, np.int32)))
+        known = common.get(language, none)
+        keep = known.take(np.searchsorted(known, plan), mode="clip") != plan if len(known) else np.ones(len(plan), bool)
         covered = times[keep].sum()
         if covered < LEAST_RUNS or covered < LEAST_COVER * times.sum():
             return None

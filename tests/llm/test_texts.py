@@ -2,6 +2,8 @@
 
 import random
 import re
+import time
+import zlib
 
 import pytest
 
@@ -121,6 +123,23 @@ def test_provenance_marks():
     assert provenance.sketch("README.md", body.encode()) is None
 
 
+@pytest.mark.parametrize("words", ["", "x 1 2 "])
+def test_long_literals_are_sketched_in_linear_time(words):
+    text = f"a = '{words}{'qwertyuiop' * 2000}'\n".encode()
+    began = time.process_time()
+    assert provenance.sketch("src/a.py", text)["literal_share"] > 0.9
+    assert time.process_time() - began < 2  # once the search for words was quadratic: 10 s
+
+
+def test_quotes_without_an_end_keep_their_place():
+    named = lambda text: {int(x) % 2**32 for x in provenance.sketch("src/a.py", text.encode())["names"]}
+    rest = "".join(f"v{i} = f{i}\n" for i in range(20))
+    names = {f"{c}{i}" for c in "vf" for i in range(20)}
+    crc = lambda *x: {zlib.crc32(w.encode()) for w in (*names, *x)}
+    assert named(rest + 'p = "a" + q  # "c\nr = 5" if s\nt = b"u" + "w') == crc("p", "q", "r", "s", "t", "w")
+    assert named(rest + 'p/* " */q\nr = """x\ny"""s `t\nu` v') == crc("p", "q", "r", "s", "v")
+
+
 @pytest.mark.parametrize("page", ["cp1252", "cp437", "cp850", "mac_roman"])
 def test_utf8_in_a_wrong_page_is_found(page):
     for s in ("Der Prüfer öffnet", "l’été “là”", "naïve – café"):
