@@ -20,18 +20,19 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import ship, staged
-from .lang import NOT_LATIN, SCRIPT_OF_LANG, UNSPACED, function_words, scripts
-from .prose import END, MARKER, wrapped
-from .rows import with_batch, with_struct
+from .lang import NOT_LATIN, SCRIPT_OF_LANG, SCRIPT_RANGES, SCRIPT_RE, UNSPACED, function_words
+from .prose import MARKER, wrapped
+from .rows import with_batch
 
 INTS = T.ArrayType(T.IntegerType())
 SEQUENCES = T.StructType([T.StructField("lang", T.StringType()), T.StructField("n", T.LongType()), T.StructField("k", T.LongType()), T.StructField("sentence_n", T.LongType()), T.StructField("sentence_k", T.LongType()), T.StructField("ids", INTS), T.StructField("sizes", INTS)])
@@ -50,12 +51,21 @@ BUCKETS = 1 << 21
 FENCE = re.compile(r"^[ \t]*(`{3,}|~{3,})[^\n]*\n[\s\S]*?(?:^[ \t]*\1[`~]*[ \t]*$|\Z)", re.M)
 BLANK = re.compile(r"\n[^\S\n]*\n")
 HEADING = re.compile(r"\s*#{1,6}\s")
-SENTENCE = re.compile(r"(?<=[.!?।؟;…])[\"”»’)]*\s+|(?<=[。！？])")
+SENTENCE = re.compile(r"([.!?।؟;…。！？])(?:(?<=[。！？])|[\"”»’)]*[^\S\n]+)")
+ENDS, CLOSERS = tuple(".!?।؟;。！？…‥"), "\"'”»’)]」』*_"
+SPACES = re.compile(r"[^\S\n ]")
 DENSE = "぀-ヿ㐀-䶿一-鿿฀-๿"
+LETTER = r"\w\u0300-\u036f\u064b-\u065f\u0900-\u0963"
+MORE = LETTER + "'’"
+#: Words of plain letters and common marks, which most tokens are, come first; nothing else matches there. No token but
+#: the end of a piece has a line break.
 TOKEN = re.compile(
-    r"\[[^\]\[\n]*\]\([^)\s]*\)|<a\b[^>]*>(?:[^<]|<(?!/a>|a\b))*</a>|(?:https?://|www\.)[^\s<>)\"]+|(?<!\w)#[^\W\d_]\w*|`[^`\n]+`|<[^<>\n]+>|&\w+;|[$€£¥]\s?\d[\d.,]*|\d+[.,]\d{2}\b|\(?#?\d[\w.,:/%-]*\)?"
+    " *+("
+    + "|".join(f"{x}[a-z]*+(?![{MORE}-])" for x in ("[A-Za-gi-vx-z]", "h(?!ttps?://)", r"w(?!ww\.)"))
+    + r"|[.,;:!?\n]"
+    + r"|\[[^\]\[\n]*\]\([^)\s]*\)|<a\b(?=.*>)[^>]*+>(?:[^<\n]++|<(?!/a>|a\b))*+</a>|(?:https?://|www\.)[^\s<>)\"]+|(?<!\w)#[^\W\d_]\w*|`[^`\n]+`|<[^<>\n]+>|&\w+;|[$€£¥][^\S\n]?\d[\d.,]*|\d+[.,]\d{2}\b|\(?#?\d[\w.,:/%-]*\)?"
     + f"|[{DENSE}]+"
-    + r"|[^\W\d_](?:[\w'’\u0300-\u036f\u064b-\u065f\u0900-\u0963-]*[\w\u0300-\u036f\u064b-\u065f\u0900-\u0963])?|[^\w\s]"
+    + rf"|[^\W\d_](?:[{MORE}-]*[{LETTER}])?|[^\w\s])"
 )
 DENSE_RUN = re.compile(f"[{DENSE}]")
 PRICE = re.compile(r"[$€£¥]\s?\d[\d.,]*|\d+[.,]\d{2}")
@@ -64,12 +74,34 @@ KINDS = ("<link>", "<url>", "<tag>", "<code>", "<price>", "<num>", "<d>", "<dd>"
 MARKS = ".,;:!?|/»·•()-"
 SAME_MARK = dict(zip("。！？।؟…、，；：،—–", ".!?.?.,,;:,--"))
 START, STOP = 0, 1
+#: The end of a piece and a run of a script without spaces, before these are given their classes.
+BREAK, RUN = -1, -2
+SCRIPTS = ("", *SCRIPT_RANGES)
+SCRIPT_AT = np.zeros(0x10000, np.int8)
+for _m in SCRIPT_RE.finditer("".join(map(chr, range(0x10000)))):
+    SCRIPT_AT[_m.start() : _m.end()] = SCRIPTS.index(_m.lastgroup)
+
+
+class Kinds(dict):
+    """The class of every token met lately."""
+
+    def __init__(self, kind: Callable[[str], int]):
+        self.kind = kind
+
+    def __missing__(self, s: str) -> int:
+        i = self.kind(s)
+        if i != RUN:
+            if len(self) > 200_000:
+                self.clear()
+            self[s] = i
+        return i
 
 
 class Classes:
-    """Turns a page into class numbers; the numbers follow from the function words alone."""
+    """Turns pages into class numbers; the numbers follow from the function words alone."""
 
     def __init__(self, words: dict[str, list[str]]):
+        self.words = words
         spaced = {p for lang, ws in words.items() if lang not in UNSPACED for w in ws for p in w.casefold().split()}
         dense = {w for lang in UNSPACED for w in words.get(lang, ())}
         names = ["^", "$", *KINDS, *MARKS, *sorted(spaced | dense)]
@@ -77,19 +109,23 @@ class Classes:
         self.first_word, self.size = 2 + len(KINDS) + len(MARKS), len(names)
         self.first_mark = 2 + len(KINDS)
         self.spaced = frozenset(spaced)
-        self.dense = re.compile("|".join(re.escape(w) for w in sorted(dense, key=lambda w: (-len(w), w))) or r"(?!)")
+        self.dense = re.compile(f"({'|'.join(re.escape(w) for w in sorted(dense, key=lambda w: (-len(w), w))) or '(?!)'})")
         self.langs: dict[int, tuple[str, ...]] = {}
         for lang, ws in sorted(words.items()):
             if lang not in UNSPACED and lang not in SCRIPT_OF_LANG:
                 for p in {p for w in ws for p in w.casefold().split()}:
                     self.langs[self.number[p]] = (*self.langs.get(self.number[p], ()), lang)
-        self.cache: dict[str, int] = {}
+        self.kinds = Kinds(self.kind)
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}}
+    def __reduce__(self) -> tuple:
+        return Classes, (self.words,)
 
     def kind(self, s: str) -> int:
         n, c = self.number, s[0]
+        if c == "\n":
+            return BREAK
+        if DENSE_RUN.match(s):
+            return RUN
         if c.isalpha():
             low = s.casefold()
             if low in self.spaced:
@@ -109,58 +145,85 @@ class Classes:
             return n["<code>"]
         return n["<price>"] if PRICE.fullmatch(s) else n["<num>"]
 
-    def piece(self, text: str) -> list[int]:
-        out, cache = [], self.cache
-        for s in TOKEN.findall(text):
-            i = cache.get(s)
-            if i is None:
-                if DENSE_RUN.match(s):
-                    at = 0
-                    for f in self.dense.finditer(s):
-                        if f.start() > at:
-                            out.append(self._run(f.start() - at))
-                        out.append(self.number[f[0]])
-                        at = f.end()
-                    if at < len(s):
-                        out.append(self._run(len(s) - at))
-                    continue
-                if len(cache) > 200_000:
-                    cache.clear()
-                i = cache[s] = self.kind(s)
-            out.append(i)
-        return out
+    def tokens(self, lines: str) -> np.ndarray:
+        """The classes of a page's tokens, with BREAK where a line ends."""
+        found = TOKEN.findall(lines)
+        out = np.fromiter(map(self.kinds.__getitem__, found), np.int32, len(found))
+        at = np.flatnonzero(out == RUN)
+        if not len(at):
+            return out
+        parts, done = [], 0
+        for i in at.tolist():
+            parts += (out[done:i], [self.number[x] if j & 1 else self._run(len(x)) for j, x in enumerate(self.dense.split(found[i])) if x])
+            done = i + 1
+        return np.concatenate([*parts, out[done:]], dtype=np.int32)
 
     def _run(self, n: int) -> int:
         return self.number["<d>" if n < 4 else "<dd>" if n < 9 else "<ddd>"]
 
     def __call__(self, text: str | None) -> dict | None:
-        """The page's sequences: START START piece STOP for each piece, with the pieces' visible sizes."""
-        if not text or not text.strip():
-            return None
-        ids: list[int] = []
+        return self.pages(pa.array([text], pa.string())).to_pylist()[0]
+
+    def pages(self, texts: pa.Array) -> pa.StructArray:
+        """The sequences of each page: START START piece STOP for each piece, with the pieces' visible sizes. Pieces
+        without a token are left out."""
+        langs: list[str | None] = []
+        codes: list[np.ndarray] = []
         sizes: list[int] = []
-        n = k = sn = sk = 0
-        first_word, first_mark = self.first_word, self.first_mark
-        votes: Counter[int] = Counter()
-        for p in pieces(text):
-            q = self.piece(p)
-            if not q:
+        ends: list[bool] = []
+        lines_of: list[int] = []
+        for text in texts.to_pylist():
+            if not text or not text.strip():
+                langs.append(None)
+                lines_of.append(0)
                 continue
-            ids += (START, START, *q, STOP)
-            sizes.append(len("".join(p.split())))
-            words = [i for i in q if i >= first_word]
-            others = len([i for i in q if i < first_mark])
-            n += len(words) + others
-            k += len(words)
-            if len(words) + others >= 5 and END.search(p):
-                sn += len(words) + others
-                sk += len(words)
-            votes.update(words)
-        return {"lang": self.language(text, votes), "n": n, "k": k, "sentence_n": sn, "sentence_k": sk, "ids": ids, "sizes": sizes}
-
-    def language(self, text: str, votes: Counter) -> str:
+            lines = SPACES.sub(" ", split(text))
+            own = lines.split("\n")
+            x = self.tokens(lines + "\n")
+            codes.append(x)
+            lines_of.append(len(own))
+            sizes += [len(p) - p.count(" ") for p in own]
+            ends += [p.rstrip(CLOSERS).endswith(ENDS) for p in own]
+            langs.append(self.language(text, x))
+        x = np.concatenate(codes) if codes else np.zeros(0, np.int32)
+        stop = np.flatnonzero(x == BREAK)
+        length = np.diff(stop, prepend=-1) - 1
+        kept = length > 0
+        page = np.repeat(np.arange(len(langs)), lines_of)[kept]
+        # words and other tokens of each piece
+        up_to = [np.concatenate([[0], np.cumsum(v)]) for v in (x >= self.first_word, (x >= 0) & (x < self.first_mark))]
+        k, others = (np.diff(v[stop], prepend=0)[kept] for v in up_to)
+        n = k + others
+        sentence = (n >= 5) & np.array(ends, bool)[kept]
+        length = length[kept] + 3
+        last = np.cumsum(length) - 1
+        ids = np.empty(length.sum(), np.int32)
+        own = np.ones(len(ids), bool)
+        for at, i in ((last - length + 1, START), (last - length + 2, START), (last, STOP)):
+            ids[at], own[at] = i, False
+        ids[own] = x[x >= 0]
+
+        def total(v: np.ndarray) -> pa.Array:
+            out = np.zeros(len(langs), np.int64)
+            np.add.at(out, page, v)
+            return pa.array(out)
+
+        def lists(v: np.ndarray, of: np.ndarray) -> pa.Array:
+            offsets = np.zeros(len(langs) + 1, np.int64)
+            np.add.at(offsets, page + 1, of)
+            offsets = np.cumsum(offsets)
+            if offsets[-1] >= 1 << 31:
+                raise ValueError("a batch has too many tokens; set fewer rows a batch")
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(v, pa.int32()), type=to_arrow_type(INTS))
+
+        columns = [pa.array(langs, pa.string()), total(n), total(k), total(n * sentence), total(k * sentence), lists(ids, length), lists(np.array(sizes, np.int64)[kept], np.ones(len(page), np.int64))]
+        return pa.StructArray.from_arrays(columns, fields=list(to_arrow_type(SEQUENCES)), mask=pa.array([v is None for v in langs], pa.bool_()))
+
+    def language(self, text: str, codes: np.ndarray) -> str:
         if NOT_LATIN.search(text):
-            found = scripts(text)
+            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+            found = dict(zip(SCRIPTS, np.bincount(SCRIPT_AT[points[points < len(SCRIPT_AT)]], minlength=len(SCRIPTS)).tolist()))
+            found = {s: n for s, n in found.items() if s and n}
             if found.get("kana", 0) * 8 >= found.get("han", 0) + found.get("kana", 0) > 0:
                 found["kana"] += found.pop("han", 0)
             top = max(found, key=lambda s: (found[s] * (3 if s in ("han", "kana", "hangul") else 1), s), default="latin")
@@ -168,7 +231,7 @@ class Classes:
                 if script == top:
                     return lang
         by: dict[str, float] = {}
-        for i, c in votes.items():
+        for i, c in Counter(codes[codes >= self.first_word].tolist()).items():
             for lang in self.langs.get(i, ()):
                 by[lang] = by.get(lang, 0.0) + c / len(self.langs[i])
         return max(by, key=lambda x: (by[x], x)) if by else "und"
@@ -176,6 +239,11 @@ class Classes:
 
 def pieces(text: str) -> list[str]:
     """Sentences and items; wrapped lines are joined, headings stand alone, code is left out."""
+    return [p for p in split(text).split("\n") if p and not p.isspace()]
+
+
+def split(text: str) -> str:
+    """The text with each of its pieces as a line; some lines may be blank."""
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     if "```" in text or "~~~" in text:
@@ -199,11 +267,8 @@ def pieces(text: str) -> list[str]:
             joined = []
             for g in groups:
                 joined += [" ".join(x.strip() for x in g)] if len(g) == 1 or MARKER.match(g[0]) or wrapped(g) else [x.strip() for x in g]
-        for x in joined:
-            if not HEADING.match(x):
-                x = MARKER.sub("", x)
-            out += [p for p in SENTENCE.split(x) if p and not p.isspace()]
-    return out
+        out += [x if HEADING.match(x) else MARKER.sub("", x) for x in joined]
+    return SENTENCE.sub(r"\1\n", "\n".join(out))
 
 
 def windows(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -296,7 +361,7 @@ def spam_pages(df: DataFrame, words: dict[str, list[str]], key: str, text: str =
     """key, off_share, prose_perplexity, other_perplexity, spam of every page of df."""
     ship(df.sparkSession)
     classes = Classes(words)
-    pages = staged(with_struct(df.select(F.col(key), F.col(text).alias("_t")), "_t", "s", SEQUENCES, classes).select(key, "s.*"))
+    pages = staged(with_batch(df.select(F.col(key), F.col(text).alias("_t")), "_t", "s", SEQUENCES, classes.pages).select(key, "s.*"))
     # the usual share of function words in sentences, by language; a table with a row for each language
     usual = pages.where(F.col("lang") != "und").groupBy("lang").agg((F.sum("sentence_k") / F.sum("sentence_n")).alias("rate"))
     rate = F.least(F.lit(0.9), F.greatest(F.lit(0.02), F.coalesce("rate", F.lit(USUAL))))

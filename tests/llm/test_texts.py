@@ -182,3 +182,42 @@ def test_page_classes():
     assert s["lang"] == "en" and s["k"] == 4 and len(s["sizes"]) == 2
     assert spam.pieces("a b c\r\nd e f") == spam.pieces("a b c\nd e f")
     assert re.fullmatch("(?:x )*x", " ".join("x" * 3))
+
+
+def test_pages_of_a_batch():
+    import pyarrow as pa
+
+    c = spam.Classes(WORDS)
+    texts = ["The list is in the box.  See [a b](http://x.example/y)\tand that.\n\n_\n\nwww.x.example with 3.50", None, "", " \n", "我在中文会的。很好！", "Что не в доме.", "```\nthe code\n```"]
+    got = c.pages(pa.array(texts)).to_pylist()
+    assert got == [c(t) for t in texts] and [x and x["lang"] for x in got] == ["en", None, None, None, "zh", "ru", "und"]
+    n = c.number
+    links = [n[x] for x in ("<link>", "<url>")]
+    assert [x for x in got[0]["ids"] if x in links] == links and got[0]["sizes"] == [18, 35, 21]
+    han = [n[x] for x in ("^", "^", "<d>", "在", "<d>", "会", "的", ".", "$", "^", "^", "<d>", "!", "$")]
+    assert got[4]["ids"] == han and got[6] == {"lang": "und", "n": 0, "k": 0, "sentence_n": 0, "sentence_k": 0, "ids": [], "sizes": []}
+
+
+def test_page_classes_in_linear_time():
+    text = "The list is in the box " + "." * 20_000 + "x"
+    start = time.process_time()
+    assert spam.Classes(WORDS)(text)["n"] == 7
+    assert time.process_time() - start < 1
+
+
+def test_a_page_costs_little_more_than_its_tokens():
+    r = random.Random(5)
+    nouns = "reader parser cache index log table branch module key row".split()
+    pages = [" ".join(f"The {r.choice(nouns)} of the {r.choice(nouns)} is in a {r.choice(nouns)} that is for the {r.choice(nouns)}." for _ in range(12)) for _ in range(300)]
+    import pyarrow as pa
+
+    c, column, plain = spam.Classes(WORDS), pa.array(pages), re.compile(r"\w+|[^\w\s]")
+
+    def seconds(f):
+        start = time.process_time()
+        f()
+        return time.process_time() - start
+
+    read = getattr(c, "pages", lambda x: [c(t) for t in x.to_pylist()])
+    times = [(seconds(lambda: read(column)), seconds(lambda: [plain.findall(t) for t in pages])) for _ in range(7)]
+    assert min(a for a, _ in times) < 4.5 * min(b for _, b in times)
